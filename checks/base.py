@@ -28,6 +28,8 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, name).alias(name[0])
         for name in ("documents", "events", "nation", "conversations")
     )
+    # The partitioning that the joins below need at any size.
+    d = d.repartition("doc_id")
     doc = F.col("d.doc_id")
     nation = F.floor(F.sqrt(doc % 625)).cast("int")
     opening = c.filter(F.col("c.turn") == 0).select(
@@ -154,8 +156,8 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def stopwords(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "documents").select(
-        F.col("lang"), F.explode(text.tokens(F.lower(text.clean_text(F.col("text"))))).alias("word")
-    )
+        F.col("lang"), F.explode(text.clean_words(F.col("text"))).alias("word")
+    ).withColumn("word", F.lower("word"))
     counts = words.groupBy("lang", "word").agg((-F.count("*")).alias("minus_n"))
     top = cap_per_key(counts, "lang", 10, ["minus_n", "word"])
     return stage(top.select("lang", "word"), "stopwords")

@@ -6,17 +6,24 @@ meaning differs between regular-expression dialects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes and patterns that decide the results.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same class in its shortest form for this engine's split.
+SPLIT = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"\p{L}\p{N}_"
 # Letters that a case-insensitive [A-Za-z] accepts: the ASCII ones and four others.
 LETTER = r"A-Za-z\x{130}\x{131}\x{17f}\x{212a}"
 MENTION = rf"(?<![{LETTER}0-9_.-])@([{LETTER}][{LETTER}0-9]+)"
-# The look-behind and the possessive ++ only save retries inside a long word.
-CLEAN = rf"@[A-Za-z0-9]+|[^0-9A-Za-z \t]|(?<![0-9A-Za-z])[{WORD}]++://[^{SPACE}]+"
+# A word (group 1) unless it begins a URL, or a URL or a handle (no group).
+CLEAN_WORD = (
+    rf"([0-9A-Za-z]++)(?![{WORD}]*+://[^{SPACE}])"
+    rf"|(?=[0-9A-Za-z])[{WORD}]++://[^{SPACE}]+|@[0-9A-Za-z]*"
+)
 HANDLE = r"(^|[^A-Za-z0-9_!@#$%&*])@[A-Za-z0-9_]+"
 TWEET_TOKEN = (
     rf"https?://[^{SPACE}]+|#[{WORD}]+|[{WORD}]+(?:['-][{WORD}]+)*|[^{SPACE}]"
@@ -27,7 +34,7 @@ WORD_TOKEN = rf"[{WORD}]+|[^{SPACE}{WORD}]"
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens, none of them empty."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda t: t != "")
+    return F.filter(F.split(text, SPLIT), lambda t: t != "")
 
 
 def lower_tokens(words: Column) -> Column:
@@ -54,9 +61,15 @@ def mentions(text: Column) -> Column:
     return F.array_join(mention_list(text), ", ")
 
 
+def clean_words(text: Column) -> Column:
+    """Runs of ASCII letters and digits that are not part of a handle or a URL."""
+    return F.filter(F.regexp_extract_all(text, F.lit(CLEAN_WORD), 1), lambda w: w != "")
+
+
 def clean_text(text: Column) -> Column:
-    """Handles, URLs and all but ASCII letters and digits become single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CLEAN, " "), "[ \t]+", " "))
+    """:func:`clean_words` with single spaces: handles, URLs and all but ASCII
+    letters and digits are gone."""
+    return F.array_join(clean_words(text), " ")
 
 
 def tweet_tokens(text: Column) -> Column:
@@ -80,12 +93,12 @@ def word_tokens(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Neighbouring pairs, joined by a space."""
-    return _grams(words, 2)
+    return bind(words, lambda w: _grams(w, 2))
 
 
 def ngrams(words: Column, n: int = 2) -> Column:
     """All 1- to ``n``-grams, shorter ones first."""
-    return F.concat(words, *[_grams(words, m) for m in range(2, n + 1)])
+    return bind(words, lambda w: F.concat(w, *[_grams(w, m) for m in range(2, n + 1)]))
 
 
 def _grams(words: Column, m: int) -> Column:
@@ -94,6 +107,12 @@ def _grams(words: Column, m: int) -> Column:
     return F.when(F.size(words) >= m, grams).otherwise(F.array().cast("array<string>"))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also where ``body`` uses
+    it inside a lambda (which would otherwise compute it for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doc_text(*parts: Column, sep: str = " ") -> Column:
     """Texts joined by ``sep``; null parts are left out."""
     return F.concat_ws(sep, *parts)

@@ -31,26 +31,32 @@ def stem(
 ) -> Column:
     """The token with the longest matching suffix of its language replaced.
 
-    The rules become one CASE expression, so stemming needs neither a join nor
-    a Python worker.
+    One CASE expression picks the rule, so stemming needs neither a join nor a
+    Python worker. It yields only the rule's number and the cut is made outside
+    of it: this keeps the generated method small enough to be compiled.
     """
-    per_route: dict[str, Column] = {}
-    for route in sorted({r[0] for r in rules}):
-        own = sorted((r for r in rules if r[0] == route), key=lambda r: -len(r[1]))
-        case = F.when(F.lit(False), token)
-        for _, suffix, replacement, min_stem in own:
-            kept = F.length(token) - len(suffix)
-            case = case.when(
-                token.endswith(suffix) & (kept >= min_stem),
-                F.concat(F.substring(token, F.lit(1), kept), F.lit(replacement)),
-            )
-        per_route[route] = case.otherwise(token)
-    stemmed = F.when(F.lit(False), token)
-    for route, case in per_route.items():
+    ordered = sorted(rules, key=lambda r: -len(r[1]))
+    number = F.when(F.lit(False), F.lit(-1))
+    for route in sorted({r[0] for r in ordered}):
         langs = [code for code, target in routes.items() if target == route]
-        if langs:
-            stemmed = stemmed.when(lang.isin(langs), case)
-    return stemmed.otherwise(token)
+        case = F.when(F.lit(False), F.lit(-1))
+        for i, (rule_route, suffix, _, _) in enumerate(ordered):
+            if rule_route == route:
+                case = case.when(token.endswith(suffix) & (F.length(token) >= _shortest(ordered[i])), F.lit(i))
+        number = number.when(lang.isin(langs), case)
+    return _cut(token, number, ordered)
+
+
+def _shortest(rule: tuple) -> int:
+    """Characters that a word needs for the rule: its suffix and the shortest stem."""
+    return len(rule[1]) + rule[3]
+
+
+def _cut(token: Column, number: Column, ordered: list[tuple]) -> Column:
+    cuts = F.array(*[F.lit(len(r[1])) for r in ordered])
+    endings = F.array(*[F.lit(r[2]) for r in ordered])
+    stem_of = F.substring(token, F.lit(1), F.length(token) - F.get(cuts, number))
+    return F.coalesce(F.concat(stem_of, F.get(endings, number)), token)
 
 
 def has_stemmer(lang: Column, routes: dict = STEM_ROUTES) -> Column:
@@ -86,7 +92,7 @@ def description_tokens(
     df: DataFrame, stopwords: DataFrame, key: str = "tweet_id", lang: str = "user_lang"
 ) -> DataFrame:
     """Clean, filtered and stemmed words of the user description, by position."""
-    words = text.tokens(text.clean_text(F.col("user_description")))
+    words = text.clean_words(F.col("user_description"))
     kept = remove_stopwords(explode_tokens(df, [key, lang], words), stopwords, lang)
     return kept.select(key, lang, "pos", stem(F.col("word"), F.col(lang)).alias("word"))
 
@@ -106,25 +112,20 @@ def message_terms(
     """
     if drop_unstemmed:
         df = df.filter(has_stemmer(F.col(lang)))
-    words = text.tokens(F.lower(text.clean_text(F.col("text"))))
-    tags = text.tokens(F.lower(text.clean_text(text.hashtags(F.col("text")))))
-    parts = F.concat(
-        F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(False).alias("is_tag"))),
-        F.transform(tags, lambda w: F.struct(w.alias("word"), F.lit(True).alias("is_tag"))),
-    )
-    long = df.select(*keys, F.col(lang).alias("_lang"), F.explode(parts).alias("_part")).select(
-        *keys, "_lang", "_part.word", "_part.is_tag"
-    )
-    stops = stopwords.select(F.col("lang").alias("_stop_lang"), F.col("word").alias("_stop"))
-    kept = long.join(
-        stops,
-        (F.col("_lang") == F.col("_stop_lang"))
-        & (F.col("word") == F.col("_stop"))
-        & ~F.col("is_tag"),
-        "left_anti",
+    words = text.clean_words(F.col("text"))
+    tags = text.clean_words(text.hashtags(F.col("text")))
+    # A clean word holds no "#", so the sign marks the tags among the words.
+    marked = F.concat(words, F.transform(tags, lambda t: F.concat(F.lit("#"), t)))
+    long = df.select(
+        *keys, F.col(lang).alias("_lang"), F.explode(marked).alias("_word")
+    ).withColumn("_word", F.lower("_word"))
+    stops = stopwords.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"))
+    kept = long.join(stops, ["_lang", "_word"], "left_anti")
+    word = F.col("_word")
+    term = F.when(word.startswith("#"), F.substring(word, 2, 1 << 30)).otherwise(
+        stem(word, F.col("_lang"))
     )
-    stemmed = F.when(F.col("is_tag"), F.col("word")).otherwise(stem(F.col("word"), F.col("_lang")))
-    return kept.select(*keys, stemmed.alias("term")).filter(F.length("term") >= 2)
+    return kept.select(*keys, term.alias("term")).filter(F.length("term") >= 2)
 
 
 def term_counts(terms: DataFrame, key: str, term: str = "term") -> DataFrame:
