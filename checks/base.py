@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wherewords.functions import text
 from wherewords.operators.rows import canonical_lang, split, with_text_columns
 from wherewords.operators.windows import cap_per_key
-from wherewords.session import stage
+from wherewords.session import spread, stage
 from wherewords.sources.languages import LANGUAGE_MAP, STEM_ROUTES, STEM_RULES, language_dimension
 
 TEST_BELOW = int(0.2 * 2**32)
@@ -155,7 +155,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stopwords(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "documents").select(
+    words = spread(table(spark, folder, "documents").select("lang", "text")).select(
         F.col("lang"), F.explode(text.clean_words(F.col("text"))).alias("word")
     ).withColumn("word", F.lower("word"))
     counts = words.groupBy("lang", "word").agg((-F.count("*")).alias("minus_n"))

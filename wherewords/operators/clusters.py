@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wherewords.functions.scalars import squared_distance
 from wherewords.operators.similarity import best_in_blocks
-from wherewords.session import stage
+from wherewords.session import small_table, stage
 
 # Documents whose exact coordinates are computed; their square matrix passes the driver.
 MAX_DOCS = 2000
@@ -35,8 +35,9 @@ def term_rows(weights: DataFrame, key: str, keys: list, term: str, value: str) -
     vocabulary may be of any size.
     """
     spark = weights.sparkSession
-    numbers = spark.createDataFrame(
-        [(k, i) for i, k in enumerate(keys)], f"{key} {weights.schema[key].dataType.simpleString()}, _doc int"
+    kind = weights.schema[key].dataType.simpleString()
+    numbers = small_table(
+        spark, [(k, i) for i, k in enumerate(keys)], f"{key} {kind}, _doc int"
     )
     by_doc = F.map_from_entries(F.collect_list(F.struct("_doc", F.col(value).cast("double"))))
     cells = F.transform(
@@ -90,7 +91,7 @@ def one_cluster_each(docs: DataFrame, key: str) -> DataFrame:
     """k = number of documents: every document its own cluster, numbered by key."""
     rows = [(k, i) for i, k in enumerate(doc_keys(docs, key))]
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, cluster int"
-    return docs.sparkSession.createDataFrame(rows, schema)
+    return small_table(docs.sparkSession, rows, schema)
 
 
 def kmeans_sweep(

@@ -59,10 +59,11 @@ def count_vectorize(df: DataFrame, words: str, out: str, vocab_size: int = 1 <<
 FIELDS = ("text", "user_description", "hashtags")
 
 
-def field_grams(df: DataFrame, stop_language: str = "english") -> DataFrame:
+def field_grams(df: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """For each text field a column ``<field>_grams``: the message tokens without
-    English stop words, and their pairs."""
-    stop = StopWordsRemover.loadDefaultStopWords(stop_language)
+    stop words (by default Spark's English ones), and their pairs."""
+    if stop is None:
+        stop = StopWordsRemover.loadDefaultStopWords("english")
     cleaned = {
         "text": text.clean_text(F.col("text")),
         "user_description": text.clean_text(text.null_text(F.col("user_description"))),

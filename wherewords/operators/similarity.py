@@ -53,7 +53,7 @@ def best_in_blocks(
     if rows * width <= BROADCAST_NUMBERS:
         blocks = F.broadcast(blocks)
     met = points.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint")
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))
     ).join(blocks, "_block")
     rated = F.transform(
         "_members",

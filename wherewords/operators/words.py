@@ -35,6 +35,8 @@ def stem(
     Python worker. It yields only the rule's number and the cut is made outside
     of it: this keeps the generated method small enough to be compiled.
     """
+    if any(min_stem + len(replacement) < 2 for _, _, replacement, min_stem in rules):
+        raise ValueError("a stem rule must leave two characters or more")
     ordered = sorted(rules, key=lambda r: -len(r[1]))
     number = F.when(F.lit(False), F.lit(-1))
     for route in sorted({r[0] for r in ordered}):
@@ -118,14 +120,15 @@ def message_terms(
     marked = F.concat(words, F.transform(tags, lambda t: F.concat(F.lit("#"), t)))
     long = df.select(
         *keys, F.col(lang).alias("_lang"), F.explode(marked).alias("_word")
-    ).withColumn("_word", F.lower("_word"))
+    ).select(*keys, "_lang", F.lower("_word").alias("_word"))
+    # Tested before stemming, which leaves two characters: the stem stays out of
+    # the filter and is computed once.
+    long = long.filter(F.length(F.ltrim("_word", F.lit("#"))) >= 2)
     stops = stopwords.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"))
     kept = long.join(stops, ["_lang", "_word"], "left_anti")
-    word = F.col("_word")
-    term = F.when(word.startswith("#"), F.substring(word, 2, 1 << 30)).otherwise(
-        stem(word, F.col("_lang"))
-    )
-    return kept.select(*keys, term.alias("term")).filter(F.length("term") >= 2)
+    # Tags have no language here, so they are not stemmed.
+    word, lang_of_word = F.col("_word"), F.when(~F.col("_word").startswith("#"), F.col("_lang"))
+    return kept.select(*keys, F.ltrim(stem(word, lang_of_word), F.lit("#")).alias("term"))
 
 
 def term_counts(terms: DataFrame, key: str, term: str = "term") -> DataFrame:

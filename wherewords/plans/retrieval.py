@@ -11,7 +11,7 @@ from wherewords.operators.clusters import doc_keys, doc_svd, term_rows
 from wherewords.operators.features import idf_table, tfidf
 from wherewords.operators.similarity import nearest_by_cosine, score_pairs
 from wherewords.operators.windows import top_k
-from wherewords.session import stage
+from wherewords.session import small_table, stage
 
 
 @dataclass
@@ -33,7 +33,8 @@ def lsi(profile_tf: DataFrame, k: int = 2) -> TopicModel:
     keys = doc_keys(counts, "doc_key")
     values, vectors = doc_svd(term_rows(counts, "doc_key", keys, "term", "tf"), k)
     spark = profile_tf.sparkSession
-    docs = spark.createDataFrame(
+    docs = small_table(
+        spark,
         [
             (key, [float(x) for x in row * values], [float(x) for x in row / values])
             for key, row in zip(keys, vectors)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on. AQE splits hot join partitions and sizes the
@@ -64,3 +65,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = staged_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer tasks than there are cores.
+
+    For heavy text work on a table in one or two files; a table in many files is
+    returned as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows known to the driver as a table whose size the optimizer knows.
+
+    From an Arrow table it becomes a local relation, which Catalyst broadcasts in
+    a join; from a list it would count as unboundedly large.
+    """
+    fields = [part.split() for part in schema.split(", ")]
+    kinds = {
+        "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(),
+        "array<double>": pa.list_(pa.float64()),
+    }
+    columns = {
+        name: pa.array([row[i] for row in rows], kinds[kind])
+        for i, (name, kind) in enumerate(fields)
+    }
+    return spark.createDataFrame(pa.table(columns), schema)

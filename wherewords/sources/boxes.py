@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wherewords.session import small_table
+
 # Code, name, lon_min, lat_min, lon_max, lat_max of 174 countries.
 COUNTRY_BOXES = """
 AF,Afghanistan,60.5284298033,29.318572496,75.1580277851,38.4862816432
@@ -194,7 +196,7 @@ def bbox_dimension(spark: SparkSession) -> DataFrame:
     for line in COUNTRY_BOXES.strip().splitlines():
         code, country, *edges = line.split(",")
         rows.append((code, country, *map(float, edges)))
-    return spark.createDataFrame(rows, BOX_SCHEMA)
+    return small_table(spark, rows, BOX_SCHEMA)
 
 
 def rekey(dim: DataFrame, key: str, *others: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wherewords.session import small_table
+
 # Language codes that count as another language.
 LANGUAGE_MAP = [
     ("en-GB", "en"), ("en-gb", "en"), ("sr", "en"), ("fil", "en"),
@@ -51,7 +53,7 @@ STEM_RULES = [
 
 
 def language_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LANGUAGE_MAP, "raw string, canonical string")
+    return small_table(spark, LANGUAGE_MAP, "raw string, canonical string")
 
 
 def stem_rule_dimension(
@@ -64,6 +66,6 @@ def stem_rule_dimension(
         for rule_lang, suffix, replacement, min_stem in rules
         if rule_lang == route
     ]
-    return spark.createDataFrame(
-        rows, "lang string, suffix string, replacement string, min_stem int"
+    return small_table(
+        spark, rows, "lang string, suffix string, replacement string, min_stem int"
     )
