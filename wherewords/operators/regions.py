@@ -81,16 +81,6 @@ def tag_region(
     return found.filter(F.col(out).isNotNull()).select(*keep, out)
 
 
-def tag_region_by_range(points: DataFrame, boxes: DataFrame, out: str = "country") -> DataFrame:
-    """The same as ``tag_region(multi="all")`` with the bare range condition, for
-    a handful of boxes; Spark plans it as a nested loop over the boxes."""
-    edges = boxes.select(
-        F.col("country").alias("_name"), "lon_min", "lat_min", "lon_max", "lat_max"
-    )
-    found = points.join(edges, _inside())
-    return found.select(*points.columns, F.col("_name").alias(out))
-
-
 def extract_places(
     df: DataFrame, gazetteer: DataFrame, key: str, words: Column, max_words: int = 3
 ) -> DataFrame:

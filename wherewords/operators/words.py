@@ -27,38 +27,39 @@ def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, lang: str = "user_
 
 
 def stem(
-    token: Column, lang: Column, rules: list[tuple] = STEM_RULES, routes: dict = STEM_ROUTES
+    token: str, lang: str, rules: list[tuple] = STEM_RULES, routes: dict = STEM_ROUTES
 ) -> Column:
-    """The token with the longest matching suffix of its language replaced.
+    """The token (a column name) with the longest matching suffix of its language
+    (a column name) replaced.
 
     One CASE expression picks the rule, so stemming needs neither a join nor a
     Python worker. It yields only the rule's number and the cut is made outside
-    of it: this keeps the generated method small enough to be compiled.
+    of it: this keeps the generated method small.
     """
     if any(min_stem + len(replacement) < 2 for _, _, replacement, min_stem in rules):
         raise ValueError("a stem rule must leave two characters or more")
     ordered = sorted(rules, key=lambda r: -len(r[1]))
-    number = F.when(F.lit(False), F.lit(-1))
-    for route in sorted({r[0] for r in ordered}):
-        langs = [code for code, target in routes.items() if target == route]
-        case = F.when(F.lit(False), F.lit(-1))
-        for i, (rule_route, suffix, _, _) in enumerate(ordered):
-            if rule_route == route:
-                case = case.when(token.endswith(suffix) & (F.length(token) >= _shortest(ordered[i])), F.lit(i))
-        number = number.when(lang.isin(langs), case)
-    return _cut(token, number, ordered)
-
-
-def _shortest(rule: tuple) -> int:
-    """Characters that a word needs for the rule: its suffix and the shortest stem."""
-    return len(rule[1]) + rule[3]
+    branches = []
+    for route in sorted({r[0] for r in rules}):
+        langs = ", ".join(_quote(code) for code, target in routes.items() if target == route)
+        cases = " ".join(
+            f"WHEN endswith({token}, {_quote(suffix)}) AND length({token}) >= {len(suffix) + min_stem} THEN {i}"
+            for i, (rule_route, suffix, _, min_stem) in enumerate(ordered)
+            if rule_route == route
+        )
+        if langs:
+            branches.append(f"WHEN {lang} IN ({langs}) THEN CASE {cases} END")
+    number = f"CASE {' '.join(branches)} END"
+    cuts = f"array({', '.join(str(len(r[1])) for r in ordered)})"
+    endings = f"array({', '.join(_quote(r[2]) for r in ordered)})"
+    return F.expr(
+        f"coalesce(left({token}, length({token}) - get({cuts}, {number})) "
+        f"|| get({endings}, {number}), {token})"
+    )
 
 
-def _cut(token: Column, number: Column, ordered: list[tuple]) -> Column:
-    cuts = F.array(*[F.lit(len(r[1])) for r in ordered])
-    endings = F.array(*[F.lit(r[2]) for r in ordered])
-    stem_of = F.substring(token, F.lit(1), F.length(token) - F.get(cuts, number))
-    return F.coalesce(F.concat(stem_of, F.get(endings, number)), token)
+def _quote(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def has_stemmer(lang: Column, routes: dict = STEM_ROUTES) -> Column:
@@ -96,7 +97,7 @@ def description_tokens(
     """Clean, filtered and stemmed words of the user description, by position."""
     words = text.clean_words(F.col("user_description"))
     kept = remove_stopwords(explode_tokens(df, [key, lang], words), stopwords, lang)
-    return kept.select(key, lang, "pos", stem(F.col("word"), F.col(lang)).alias("word"))
+    return kept.select(key, lang, "pos", stem("word", lang).alias("word"))
 
 
 def message_terms(
@@ -127,8 +128,9 @@ def message_terms(
     stops = stopwords.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"))
     kept = long.join(stops, ["_lang", "_word"], "left_anti")
     # Tags have no language here, so they are not stemmed.
-    word, lang_of_word = F.col("_word"), F.when(~F.col("_word").startswith("#"), F.col("_lang"))
-    return kept.select(*keys, F.ltrim(stem(word, lang_of_word), F.lit("#")).alias("term"))
+    words_only = F.when(~F.col("_word").startswith("#"), F.col("_lang"))
+    kept = kept.withColumn("_lang", words_only)
+    return kept.select(*keys, F.ltrim(stem("_word", "_lang"), F.lit("#")).alias("term"))
 
 
 def term_counts(terms: DataFrame, key: str, term: str = "term") -> DataFrame:
