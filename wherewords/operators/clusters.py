@@ -94,6 +94,16 @@ def one_cluster_each(docs: DataFrame, key: str) -> DataFrame:
     return small_table(docs.sparkSession, rows, schema)
 
 
+def renumber(clustered: DataFrame) -> DataFrame:
+    """Cluster numbers without gaps, as the classifiers need them as labels."""
+    used = doc_keys(clustered, "cluster")
+    kind = clustered.schema["cluster"].dataType.simpleString()
+    numbers = small_table(
+        clustered.sparkSession, [(c, i) for i, c in enumerate(used)], f"cluster {kind}, _new int"
+    )
+    return clustered.join(numbers, "cluster").withColumn("cluster", F.col("_new")).drop("_new")
+
+
 def kmeans_sweep(
     vectors: DataFrame, key: str, ks: list[int], seeds: list[int] | None = None
 ) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.operators.clusters import cluster_members, kmeans
+from wherewords.operators.clusters import cluster_members, kmeans, renumber
+from wherewords.session import stage
 
 
 def grid_search(
@@ -51,9 +52,9 @@ def k_sweep(
     """
     results = None
     for k in ks:
-        clustered = (
-            kmeans(vectors, k).transform(vectors)
-            .select(key, F.col("prediction").alias("cluster")).persist()
+        fitted = kmeans(vectors, k).transform(vectors)
+        clustered = stage(
+            renumber(fitted.select(key, F.col("prediction").alias("cluster"))), "k-sweep"
         )
         members = cluster_members(clustered, key).select("cluster", "members")
         hits = predict(clustered).join(members, "cluster").agg(

@@ -136,7 +136,7 @@ def route_bad_rows(
             batch.filter(~bad).drop(CORRUPT).write.mode("overwrite").json(
                 f"{good_path}/batch={batch_id}"
             )
-            batch.filter(bad).select(CORRUPT).write.mode("overwrite").json(
+            batch.filter(bad).select(F.col(CORRUPT).alias("line")).write.mode("overwrite").json(
                 f"{side_path}/batch={batch_id}"
             )
         finally:
