@@ -189,10 +189,10 @@ def centers(spark, folder):
 
 
 @add("nearest_centroid", sql(
-    "SELECT vec_id, label AS cluster, round(d, 6) AS distance2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM (SELECT d.vec_id, c.label, round(sum((d.x - c.c) * (d.x - c.c)), 9) AS d FROM dims d JOIN centers c USING (i) GROUP BY 1, 2)) WHERE r = 1", DIMS, CENTERS))
+    "SELECT vec_id, label AS cluster, d AS distance2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM (SELECT d.vec_id, c.label, round(sum((d.x - c.c) * (d.x - c.c)), 6) AS d FROM dims d JOIN centers c USING (i) GROUP BY 1, 2)) WHERE r = 1", DIMS, CENTERS))
 def nearest_centroid(spark, folder):
-    assigned = clusters.assign_nearest(embeddings(spark, folder), centers(spark, folder), "vec_id", "embedding", "label", "center")
-    return assigned.select("vec_id", "cluster", F.round("distance2", 6).alias("distance2"))
+    assigned = clusters.assign_nearest(embeddings(spark, folder), centers(spark, folder), "vec_id", "embedding", "label", "center", digits=6)
+    return assigned.select("vec_id", "cluster", "distance2")
 
 
 @add("lloyd_step", sql(
@@ -216,8 +216,8 @@ def cosine_pairs(spark, folder):
 def top3_cosine_dense(spark, folder):
     corpus = centers(spark, folder).withColumnRenamed("center", "embedding")
     queries = embeddings(spark, folder).select("vec_id", "embedding")
-    top = similarity.nearest_by_cosine(queries, corpus, "vec_id", "label", "embedding", 3)
-    return top.withColumn("score", F.round("score", 6)).select("vec_id", "label", "score", F.col("rank").cast("int").alias("rank"))
+    top = similarity.nearest_by_cosine(queries, corpus, "vec_id", "label", "embedding", 3, digits=6)
+    return top.select("vec_id", "label", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @add("linear_margins", sql(

@@ -101,7 +101,8 @@ def renumber(clustered: DataFrame) -> DataFrame:
     numbers = small_table(
         clustered.sparkSession, [(c, i) for i, c in enumerate(used)], f"cluster {kind}, _new int"
     )
-    return clustered.join(numbers, "cluster").withColumn("cluster", F.col("_new")).drop("_new")
+    joined = clustered.join(numbers, "cluster").withColumn("cluster", F.col("_new"))
+    return joined.select(*clustered.columns)
 
 
 def kmeans_sweep(
@@ -151,12 +152,13 @@ def candidate_profiles(pred: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def assign_nearest(
-    points: DataFrame, centroids: DataFrame, point: str, vec: str, center: str, center_vec: str
+    points: DataFrame, centroids: DataFrame, point: str, vec: str, center: str, center_vec: str,
+    digits: int = 9,
 ) -> DataFrame:
     """(point, vec, cluster, distance2): the nearest centroid, ties by its key."""
 
     def badness(a, b):
-        return F.round(squared_distance(a, b), 9)
+        return F.round(squared_distance(a, b), digits)
 
     ranked = best_in_blocks(points, centroids, point, vec, center, center_vec, badness)
     best = F.get("ranked", F.lit(0))

@@ -68,12 +68,13 @@ def best_in_blocks(
 
 
 def nearest_by_cosine(
-    queries: DataFrame, corpus: DataFrame, query: str, doc: str, vec: str, k: int
+    queries: DataFrame, corpus: DataFrame, query: str, doc: str, vec: str, k: int, digits: int = 9
 ) -> DataFrame:
-    """(query, doc, score, rank): the ``k`` corpus vectors with the largest cosine."""
+    """(query, doc, score, rank): the ``k`` corpus vectors with the largest
+    cosine; it is rounded to ``digits`` first, so that ties are real."""
 
     def badness(a: Column, b: Column) -> Column:
-        return -F.round(scalars.cosine(a, b), 9)
+        return -F.round(scalars.cosine(a, b), digits)
 
     ranked = best_in_blocks(queries, corpus, query, vec, doc, vec, badness, k)
     return ranked.select(query, F.posexplode("ranked").alias("_pos", "_hit")).select(
