@@ -144,9 +144,9 @@ def conditional_fill(spark, folder):
     return rows.fill_conditional(df, LISTED, "Yet to be Filled").select("tweet_id", "filled")
 
 
-@add("row_ids", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_id FROM events WHERE event_type <> 'view'")
+@add("row_ids", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_id FROM events")
 def row_ids(spark, folder):
-    events = table(spark, folder, "events").filter(F.col("event_type") != "view").select("event_id")
+    events = table(spark, folder, "events").select("event_id")
     return rows.with_row_id(events, "event_id", buckets=64)
 
 
@@ -191,12 +191,13 @@ def boxes_of_nations(spark, folder):
     )
 
 
-@add("region_dim", "SELECT n_name AS country, CAST(n_nationkey * 14 - 170 AS DOUBLE) AS lon_min, CAST(n_nationkey + 1000 AS INTEGER) AS woeid FROM nation WHERE n_nationkey % 4 <> 0")
+@add("region_dim", "SELECT n_name AS country, CAST(n_nationkey * 14 - 170 AS DOUBLE) AS lon_min, CAST(n_nationkey + 1000 AS INTEGER) AS woeid FROM nation")
 def region_dim(spark, folder):
-    nation = table(spark, folder, "nation")
+    """Nations have boxes, the listed regions of the world have none."""
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     listed = nation.select(F.col("n_name").alias("country"), (F.col("n_nationkey") + 1000).cast("string").alias("woeid"))
-    boxes = boxes_of_nations(spark, folder).join(nation.filter(F.col("n_nationkey") % 4 != 0), F.col("country") == F.col("n_name"), "left_semi")
-    return regions.region_dim(listed, boxes).select("country", "lon_min", "woeid")
+    listed = listed.unionAll(region.select("r_name", F.col("r_regionkey").cast("string")))
+    return regions.region_dim(listed, boxes_of_nations(spark, folder)).select("country", "lon_min", "woeid")
 
 
 @add("train_split", sql(f"SELECT tweet_id FROM tweets WHERE NOT ({IS_TEST})", TWEETS))
@@ -255,10 +256,10 @@ def union_sources(spark, folder):
     return rows.union_all([docs, talks])
 
 
-@add("known_lang", sql(f"SELECT tweet_id, user_lang FROM messages WHERE {IS_TEST} AND user_lang IN (SELECT user_lang FROM messages WHERE NOT ({IS_TEST}) AND place_country = 'NATION_24')", TWEETS, MESSAGES))
+@add("known_lang", sql(f"SELECT tweet_id, user_lang FROM messages WHERE {IS_TEST} AND user_lang IN (SELECT user_lang FROM messages WHERE NOT ({IS_TEST}))", TWEETS, MESSAGES))
 def known_lang(spark, folder):
     train, test = train_test(messages(spark, folder))
-    return joins.keep_known_lang(test, train.filter(F.col("place_country") == "NATION_24")).select("tweet_id", "user_lang")
+    return joins.keep_known_lang(test, train).select("tweet_id", "user_lang")
 
 
 LANGS = ["de", "en", "es", "fr", "ja", "nl", "pt", "zh"]

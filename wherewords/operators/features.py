@@ -51,7 +51,11 @@ def tfidf(
 
 
 def count_vectorize(df: DataFrame, words: str, out: str, vocab_size: int = 1 << 18):
-    """(model, counts): a vocabulary from these rows and their count vectors."""
+    """(model, counts): a vocabulary from these rows and their count vectors.
+
+    The vocabulary passes the driver, so it is for short lists of terms; counts
+    over a vocabulary of any size are the long tables of ``words.bag_of_words``.
+    """
     model = CountVectorizer(inputCol=words, outputCol=out, vocabSize=vocab_size).fit(df)
     return model, model.transform(df)
 
