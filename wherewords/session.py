@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on. AQE splits hot join partitions and sizes the
-# reducers at run time; UTC makes seconds-of-day independent of the machine.
+# reducers at run time; UTC makes seconds-of-day independent of the machine. A
+# generated method above 8000 bytes is never compiled by HotSpot, so such a stage
+# is better run operator by operator.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _local_folders: dict[str, str] = {}
