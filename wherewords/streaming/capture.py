@@ -91,7 +91,8 @@ def cap_stream(stream: DataFrame, key: str, n: int) -> DataFrame:
         for batch in batches:
             passed = batch.head(max(0, n - count))
             count += len(passed)
-            yield passed
+            if len(passed):
+                yield passed
         state.update((count,))
 
     return (
