@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from wherewords.llm import exact_dedup, packing, token_files
+from wherewords.llm import decontaminate, exact_dedup, packing, token_files, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op5_url_filter": url_filter.SQL,
+    "op6_decontamination": decontaminate.SQL,
+}
