@@ -25,7 +25,7 @@ from wherewords.session import stage
 DIMS, BITS = 4, 12
 #: Coordinates beyond this are cut: means of random signs over a text lie well inside.
 REACH = 0.25
-ENCODE_ROWS = 200
+ENCODE_ROWS = 1000
 
 
 def signs(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -71,14 +71,11 @@ def encoded_points(broadcast, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(broadcast.value)
-        end = np.array([end_id], "<u4").tobytes()
         vectors = signs(np.arange(encoder.tokenizer.get_vocab_size() + end_id + 1))
         narrow = "<u2" if len(vectors) <= 1 << 16 else "<u4"
         for big in batches:
             for batch in pieces(big, ENCODE_ROWS):
-                found = [one + end for one in encoder.encode(texts_of(batch, "text"))]
-                lengths = np.array([len(one) // 4 for one in found])
-                flat = np.frombuffer(b"".join(found), "<u4")
+                flat, lengths = encoder.encode(texts_of(batch, "text"), end_id)
                 sums = np.add.reduceat(vectors[flat], np.cumsum(lengths) - lengths, axis=0)
                 means = np.clip(sums / lengths[:, None] / REACH, -1, 1)
                 grid = np.minimum(((means + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
@@ -181,7 +178,7 @@ def pack_documents(
     most = Tokenizer.from_str(tokenizer_json).get_vocab_size() + end_id + 1
     width = 2 if most <= 1 << 16 else 4
     order = ["place", "key", "ids"]
-    ranged = points.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = points.repartitionByRange("place", "key").sortWithinPartitions(*order)
     kinds = ", ".join(f"{name} bigint" for name in PIECES)
     return ranged.select("key", "ids").mapInArrow(packed(width, sequence_tokens), kinds).withColumnRenamed("key", key)
 

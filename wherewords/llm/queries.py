@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wherewords.llm import decontaminate, exact_dedup, packing, token_files, url_filter
+from wherewords.llm import decontaminate, exact_dedup, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op9_token_files": token_files.op9_token_files,

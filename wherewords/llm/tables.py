@@ -63,8 +63,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# A random value per byte; upper and lower case A-Z have the same.
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
+# A random value per byte; in the second, upper and lower case A-Z have the same.
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LETTER = _EXACT[_LOWER]
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
@@ -88,20 +89,21 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each word: a polynomial over its bytes, letters A-Z in lower case.
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hash of each word: a polynomial over its bytes, with ``lower`` letters A-Z in lower case.
 
     The sum over a word is the difference of two running sums, divided by the power at
     which the word begins. Words are taken in chunks of about 1 MB, so that memory
     follows the longest word, not the text.
     """
+    letter = _LETTER if lower else _EXACT
     out, first = np.empty(len(starts), np.uint64), 0
     while first < len(starts):
         begin = starts[first]
         last = max(first + 1, int(np.searchsorted(starts, begin + _CHUNK // 2)))
         part = raw[begin : ends[last - 1]]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_LETTER[part] * _power(_BASE, len(part)), out=sums[1:])
+        np.cumsum(letter[part] * _power(_BASE, len(part)), out=sums[1:])
         at, to = starts[first:last] - begin, ends[first:last] - begin
         word = (sums[to] - sums[at]) * _power(_INVERSE, len(part))[at]
         out[first:last] = mix(word + (to - at).astype(np.uint64))
@@ -112,11 +114,12 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class WordBatch:
     """Words of a batch of texts: hashes in one array, and where each text begins."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], hashed: bool = True):
         parts = [text.encode("utf-8", "surrogatepass") for text in texts]
         self.raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
         self.starts, self.ends = word_spans(self.raw)
-        self.hashes = word_hashes(self.raw, self.starts, self.ends)
+        if hashed:
+            self.hashes = word_hashes(self.raw, self.starts, self.ends)
         ends = np.cumsum([len(part) + 1 for part in parts])
         #: Words of text i: first[i] up to first[i + 1].
         self.first = np.concatenate([[0], np.searchsorted(self.starts, ends)]).astype(np.int64)

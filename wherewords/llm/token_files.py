@@ -23,25 +23,23 @@ from wherewords.session import staged_path
 
 #: ``part`` counts the files in key order; ``part_start`` is the ids before the row in its file.
 SCHEMA = "key bigint, part int, part_start bigint, n_tokens int, tokens array<int>"
-ENCODE_ROWS = 200
+ENCODE_ROWS = 1000
 
 
 def encoded_rows(broadcast, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = worker_encoder(broadcast.value), 0
-        end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         for big in batches:
             for batch in pieces(big, ENCODE_ROWS):
-                ids = [one + end for one in encoder.encode(texts_of(batch, "text"))]
-                lengths = np.array([len(one) // 4 for one in ids], np.int64)
+                ids, lengths = encoder.encode(texts_of(batch, "text"), end_id)
                 starts = before + np.cumsum(lengths) - lengths
                 before += int(lengths.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("key"), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts),
+                        batch.column("key"), pa.array(np.full(len(lengths), part, np.int32)), pa.array(starts),
                         pa.array(lengths.astype(np.int32)),
-                        list_array(np.frombuffer(b"".join(ids), "<i4"), lengths, pa.int32()),
+                        list_array(ids.view(np.int32), lengths, pa.int32()),
                     ],
                     ["key", "part", "part_start", "n_tokens", "tokens"],
                 )
@@ -71,7 +69,7 @@ def write_token_files(
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
     encoded = ordered.mapInArrow(encoded_rows(spark.sparkContext.broadcast(tokenizer_json), end_id), SCHEMA)
     (
         encoded.write.option("compression", "zstd")
