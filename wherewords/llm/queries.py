@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wherewords.llm import decontaminate, exact_dedup, packing, token_files, toxicity, url_filter
+from wherewords.llm import decontaminate, exact_dedup, line_dedup, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,
 }
@@ -16,4 +17,5 @@ SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_url_filter": url_filter.SQL,
     "op6_decontamination": decontaminate.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
