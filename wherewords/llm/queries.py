@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wherewords.llm import decontaminate, exact_dedup, line_dedup, packing, token_files, toxicity, url_filter
+from wherewords.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
