@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wherewords.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, token_files, toxicity, url_filter
+from wherewords.llm import decontaminate, exact_dedup, jaccard_join, language_model, line_dedup, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_language_model": language_model.op7_language_model,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,

@@ -61,11 +61,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER_CASE = np.arange(256, dtype=np.uint8)
+LOWER_CASE[65:91] += 32
 # A random value per byte; in the second, upper and lower case A-Z have the same.
 _EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LETTER = _EXACT[_LOWER]
+_LETTER = _EXACT[LOWER_CASE]
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
