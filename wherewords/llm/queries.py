@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wherewords.llm import decontaminate, exact_dedup, jaccard_join, language_model, line_dedup, packing, token_files, toxicity, url_filter
+from wherewords.llm import decontaminate, exact_dedup, jaccard_join, language_model, line_dedup, packing, secret_scan, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
