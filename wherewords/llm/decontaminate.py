@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import table
+from wherewords.llm.tables import table, without_rows
 from wherewords.session import stage
 
 WINDOW_WORDS, SHINGLE_WORDS = 13, 3
@@ -134,6 +134,18 @@ def contamination(
     Contaminated: hit words are a twentieth of all words at least. ``docs`` is a stored table:
     it is read more than once, and rows are told apart by their place in it.
     """
+    return _judged(docs, benchmark, key, text, item).drop("row")
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id"
+) -> DataFrame:
+    """``docs`` with its columns, but for the contaminated rows."""
+    judged = _judged(docs, benchmark, key, text, item)
+    return without_rows(docs, stage(judged.filter("contaminated").select("row"), "contaminated"))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> DataFrame:
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.col(text)).alias("words")
     )
@@ -153,7 +165,7 @@ def contamination(
     )
     hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return lengths.join(judged, "row", "left").select(
-        F.col("key").alias(key), "n_words", hit.alias("n_hit"),
+        "row", F.col("key").alias(key), "n_words", hit.alias("n_hit"),
         F.size(found).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),

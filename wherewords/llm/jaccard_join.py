@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherewords.llm.components import merged
-from wherewords.llm.tables import WordBatch, list_array, mix, pieces, small_batches, table, texts_of
+from wherewords.llm.tables import WordBatch, list_array, mix, pieces, small_batches, table, texts_of, without_rows
 from wherewords.session import stage
 
 PERCENT, SHINGLE_WORDS = 90, 3
@@ -149,6 +149,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     no rows. ``docs`` is a stored table: it is read twice, and rows are told apart by
     their place.
     """
+    members = _members(docs, key, text)
+    names = members.filter("comp is not null").groupBy("comp").agg(F.min("key").alias("name"))
+    return members.join(names, "comp", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id")
+    )
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with its columns and of each component the row with the smallest key, then
+    the first one; rows without a key last. Rows without shingles all stay."""
+    members = _members(docs, key, text).filter("comp is not null")
+    rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
+    first = members.groupBy("comp").agg(F.min(rank).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    gone = members.join(first, "comp").filter(F.col("row") != F.col("first.row")).select("row")
+    return without_rows(docs, stage(gone, "near-duplicates"))
+
+
+def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, n, comp) of all rows; no comp without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(
@@ -160,13 +179,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     same = ["n", "sum", "xor"]
     nodes = stage(signed.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node")), "nodes")
-    labels, sets = _linked(rows, signed, nodes)
-    return _named(signed, nodes, labels, same).withColumnRenamed("key", key)
+    labels = _linked(rows, signed, nodes)
+    placed = nodes.join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
+    return stage(signed.select("row", "key", *same).join(placed, same, "left").select("row", "key", "n", "comp"), "members")
 
 
-def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, comp) of the nodes that may have partners, and their sets."""
-    spark = rows.sparkSession
+def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes that may have partners."""
     one_in = F.lit(FIRST_MATCHES)
     first = (
         signed.select(F.col("row").alias("node"), "n", "prefix")
@@ -205,7 +224,7 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> tuple[DataF
             break
         labels = merged(labels, links)
     links = stage(_verified(_cross_pairs(prefixes, labels), sets), "links")
-    return merged(labels, links), sets
+    return merged(labels, links)
 
 
 def _pivot_pairs(prefixes: DataFrame, labels: DataFrame, number: int) -> DataFrame:
@@ -239,15 +258,5 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _named(signed: DataFrame, nodes: DataFrame, labels: DataFrame, same: list[str]) -> DataFrame:
-    """Rows with the smallest key of their component."""
-    placed = nodes.join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
-    members = stage(signed.select("key", *same).join(placed, same, "left").select("key", "n", "comp"), "members")
-    names = members.filter("comp is not null").groupBy("comp").agg(F.min("key").alias("name"))
-    return members.join(names, "comp", "left").select(
-        "key", F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id")
-    )
-
-
 def op4_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

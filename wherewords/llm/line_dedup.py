@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import table
+from wherewords.llm.tables import free_name, table
 from wherewords.session import stage
 
 LEADING, FIELDS = 3, 3
@@ -105,14 +105,16 @@ def without_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     Rows of which no line is left are dropped; untouched rows stay as they are.
     """
-    lost = recurring_lines(docs, key, text).withColumnRenamed("row", "_row").withColumnRenamed("dropped", "_dropped")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    row, dropped = free_name(docs, "row"), free_name(docs, "dropped")
+    lost = recurring_lines(docs, key, text).select(F.col("row").alias(row), F.col("dropped").alias(dropped))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     lines = F.split(F.col(text), "\n")
-    left = F.filter(lines, lambda line, at: ~F.array_contains("_dropped", at))
+    left = F.filter(lines, lambda line, at: ~F.array_contains(dropped, at))
+    touched = F.col(dropped).isNotNull()
     return (
-        numbered.join(lost, "_row", "left")
-        .withColumn(text, F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-        .filter(F.col("_dropped").isNull() | (F.length(F.regexp_replace(text, r"\s+", "")) > 0))
+        numbered.join(lost, row, "left")
+        .withColumn(text, F.when(touched, F.array_join(left, "\n")).otherwise(F.col(text)))
+        .filter(~touched | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
         .select(*docs.columns)
     )
 

@@ -22,6 +22,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``docs`` has."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose place is in ``gone`` (row); all columns stay.
+
+    ``docs`` is a stored table, in which a row's place does not change. ``gone`` should be
+    staged: its true size decides whether it is broadcast.
+    """
+    place = free_name(docs, "row")
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    return numbered.join(gone.select(F.col("row").alias(place)), place, "left_anti").select(*docs.columns)
+
+
 def crc_bucket(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as empty text."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
