@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from wherewords.llm import decontaminate, exact_dedup, jaccard_join, language_model, line_dedup, packing, secret_scan, token_files, toxicity, url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
