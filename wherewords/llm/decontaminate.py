@@ -131,7 +131,8 @@ def contamination(
     ``n_hit`` counts the words inside any occurrence of a window. Nulls and empty texts
     have no words and are clean; an item without words has no window; repeated items count
     once, repeated documents are judged alike; null keys stay; other columns are left out.
-    Contaminated: hit words are a twentieth of all words at least. ``docs`` is a stored table:
+    An item without an id is looked for, but not named. Contaminated: hit words are a
+    twentieth of all words at least. ``docs`` is a stored table:
     it is read more than once, and rows are told apart by their place in it.
     """
     return _judged(docs, benchmark, key, text, item).drop("row")
@@ -157,7 +158,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     spans = hits.groupBy("row", "start").agg(F.max("length").alias("length"))
     covered = spans.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
     named = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.collect_set("item").alias("found"))
-    judged = covered.join(named, "row")
+    judged = covered.join(named, "row", "left")
     found = F.coalesce(F.sort_array("found"), F.array().cast("array<string>"))
     lengths = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
