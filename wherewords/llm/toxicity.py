@@ -10,6 +10,7 @@ those are calibrated on labelled documents that the dictionaries have not seen.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +27,11 @@ from wherewords.llm.tables import crc_bucket, small_batches, table, texts_of
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
 WINDOW_BYTES = 64
 COMMON_BYTES, OWN_BYTES = 12_000, 2_000
-#: Letter sequences that set a class apart: their length, in how many of its documents at
-#: least, and how many times as often as in the other class.
-GRAM_BYTES, GRAM_DOCS, GRAM_RATIO = 5, 6, 8.0
+#: Letter sequences that set a class apart: their length, in what share of its documents
+#: at least, and how many times as often as in the other class.
+GRAM_BYTES, GRAM_SHARE, GRAM_RATIO = 5, 0.01, 8.0
+#: Tables that a trained dictionary begins with; its content is used without them.
+HEADER_BYTES = 300
 
 MATCHING = {
     "strategy": zstd.STRATEGY_LAZY2, "hash_log": 13, "chain_log": 13, "window_log": 15,
@@ -99,6 +102,21 @@ class Model:
 UNKNOWN = Model(b" ordinary", b" toxic", [0.0] * 6, -30.0)
 
 
+def without_copies(texts: list[str]) -> list[str]:
+    """The texts but for near copies of earlier ones, whose words would count many times:
+    texts that share one of four smallest hashes of five words in a row."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for text in texts:
+        words = text.split()
+        runs = {zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
+        least = {(k, min((run * k) & 0xFFFFFFFF for run in runs)) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)}
+        if seen.isdisjoint(least):
+            kept.append(text)
+        seen |= least
+    return kept
+
+
 def _grams(word: str) -> frozenset[bytes]:
     raw = b" " + word.encode("utf-8", "surrogatepass")
     return frozenset(raw[i : i + GRAM_BYTES] for i in range(max(1, len(raw) - GRAM_BYTES + 1)))
@@ -118,7 +136,8 @@ def _gram_docs(texts: list[str], known: dict[str, frozenset[bytes]]) -> Counter:
 
 def _apart(texts: list[str], counts: Counter, others: Counter, ratio: float, known: dict) -> list[bytes]:
     """Of each text the words that hold a sequence typical of its class."""
-    typical = {g for g, n in counts.items() if n >= GRAM_DOCS and n >= ratio * GRAM_RATIO * (others[g] + 0.5)}
+    least = max(3.0, GRAM_SHARE * len(texts))
+    typical = {g for g, n in counts.items() if n >= least and n >= ratio * GRAM_RATIO * (others[g] + 1)}
     found = ([w for w in text.lower().split() if not typical.isdisjoint(known[w])] for text in texts)
     return [b"".join(b" " + w.encode("utf-8", "surrogatepass") + b" " for w in words) for words in found if words]
 
@@ -126,7 +145,7 @@ def _apart(texts: list[str], counts: Counter, others: Counter, ratio: float, kno
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """Content of a trained dictionary; of few samples, the samples themselves."""
     try:
-        return zstd.train_dictionary(size, samples, k=24, d=6).as_bytes()[-size:]
+        return zstd.train_dictionary(size + HEADER_BYTES, samples, k=24, d=6).as_bytes()[HEADER_BYTES:]
     except zstd.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -181,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         # At most SAMPLE_ROWS keys.
         rows = usable.join(F.broadcast(keys), "key").select("key", "text").collect()
         rows.sort(key=lambda r: (r["key"], r["text"]))
-        samples[mark] = [r["text"] for r in rows]
+        samples[mark] = without_copies([r["text"] for r in rows])
     if not all(samples.values()):
         return UNKNOWN
     learn = {m: [t for i, t in enumerate(s) if i % 3 or len(s) < 6] for m, s in samples.items()}
