@@ -32,8 +32,9 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
     d = d.repartition("doc_id")
     doc = F.col("d.doc_id")
     nation = F.floor(F.sqrt(doc % 625)).cast("int")
-    opening = c.filter(F.col("c.turn") == 0).select(
-        F.col("c.conv_id").alias("conv_id"), F.col("c.text").alias("user_description")
+    turns = F.array_sort(F.collect_list(F.struct("c.turn", "c.text")))
+    described = c.groupBy(F.col("c.conv_id").alias("conv_id")).agg(
+        F.array_join(turns.getField("text"), " ").alias("user_description")
     )
     tag = F.concat(F.lit(" #"), F.col("d.source"))
     body = F.concat(
@@ -54,7 +55,7 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
     return (
         d.join(e, F.col("e.event_id") == doc)
         .join(n, F.col("n.n_nationkey") == nation)
-        .join(opening, F.col("conv_id") == doc, "left")
+        .join(described, F.col("conv_id") == doc, "left")
         .select(
             doc.alias("tweet_id"),
             F.col("e.ts").alias("created_at"),
@@ -79,7 +80,7 @@ TWEETS = f"""tweets AS (
     regexp_replace(d.text, '[{text.SPACE}]+', ' ', 'g') || ' #' || d.source || ' #' || e.event_type
       || CASE WHEN d.doc_id % 3 = 0 THEN ' #' || d.source ELSE '' END
       || ' @user' || e.user_id || ' http://t.co/' || d.doc_id AS text,
-    n.n_name AS place_country, d.source AS source, c.text AS user_description,
+    n.n_name AS place_country, d.source AS source, c.told AS user_description,
     CASE d.doc_id % 10 WHEN 0 THEN 'en-GB' WHEN 1 THEN 'zh-CN' WHEN 2 THEN 'es-MX'
       WHEN 3 THEN 'pt-PT' WHEN 4 THEN 'uk' WHEN 5 THEN 'ja' ELSE d.lang END AS user_lang,
     e.user_id AS user_followers_count, e.value AS user_friends_count,
@@ -89,10 +90,12 @@ TWEETS = f"""tweets AS (
     n.n_nationkey, n.n_regionkey
   FROM documents d JOIN events e ON e.event_id = d.doc_id
   JOIN nation n ON n.n_nationkey = CAST(floor(sqrt(d.doc_id % 625)) AS INTEGER)
-  LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0)"""
+  LEFT JOIN (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS told FROM conversations GROUP BY conv_id) c
+    ON c.conv_id = d.doc_id)"""
 
 
 def sql_clean(expr: str) -> str:
+    # Fixed value: what counts as no word decides the result.
     pattern = rf"@[A-Za-z0-9]+|[^0-9A-Za-z \t]|[{text.WORD}]+://[^{text.SPACE}]+"
     return (
         f"trim(regexp_replace(regexp_replace({expr}, '{pattern}', ' ', 'g'), '[ \\t]+', ' ', 'g'))"

@@ -43,14 +43,14 @@ def scan_roundtrip(spark, folder):
         "created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"),
     })
     named = df.select(*[F.col(ours).alias(head) for head, ours, _ in files.TWEET_COLUMNS], "tweet_id")
-    paths = []
+    folder = staged_path(spark, "csv")
     for part in (0, 1):
-        path = staged_path(spark, "csv")
         half = named.filter(F.col("tweet_id") % 2 == part)
-        # The second file has its columns in another order.
-        files.write_table(half.select(*reversed(half.columns)) if part else half, path, "csv", encoding="ISO-8859-1")
-        paths.append(path)
-    back = files.read_tweets(spark, paths, extra={"tweet_id": "bigint"})
+        # In one folder, the second files with their columns in another order.
+        files.write_table(
+            half.select(*reversed(half.columns)) if part else half, f"{folder}/order={part}", "csv", encoding="ISO-8859-1"
+        )
+    back = files.read_tweets(spark, [folder], extra={"tweet_id": "bigint"})
     return back.select(
         "tweet_id", "text", "user_description", "user_lang", "place_country", "place_full_name",
         "user_followers_count", "user_friends_count", "lon", "lat",
@@ -134,6 +134,7 @@ def lang_canonical(spark, folder):
     return messages(spark, folder).select("tweet_id", "user_lang")
 
 
+# Fixed value: the languages that are filled.
 LISTED = ["fil", "sr", "uk", "hr", "pl", "sk", "sv", "ja"]
 
 

@@ -75,7 +75,7 @@ def test_ensemble_reload_predicts_the_same(spark, folder, tmp_path):
     model.save(str(tmp_path / "model"))
     again = ensemble.Ensemble.load(str(tmp_path / "model"))
     first, second = (
-        {r["tweet_id"]: r["predicted_location"] for r in ensemble.predict_ensemble(df, m, 64).collect()}
+        {r["tweet_id"]: r["predicted_location"] for r in ensemble.predict_ensemble(df, m).collect()}
         for m in (model, again)
     )
     assert first == second and len(first) == df.count()

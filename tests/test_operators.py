@@ -70,9 +70,17 @@ def test_keep_frequent_is_strict(spark):
     assert joins.keep_frequent(df, "key", 10).distinct().collect() == [("a",)]
 
 
-def test_one_hot_refuses_too_many_values(skewed):
-    with pytest.raises(ValueError):
-        joins.known_values(skewed.withColumn("s", F.col("id").cast("string")), "s", limit=10)
+def test_one_hot_of_many_values(spark):
+    df = spark.range(1001).withColumn("s", F.concat(F.lit("o'`x"), F.col("id")))
+    model = joins.one_hot_vector(df, "s", "flags")
+    other = df.limit(3).withColumn("s", F.when(F.col("id") == 0, "unseen").otherwise(F.col("s")))
+    flags = {r["id"]: r["flags"] for r in model.transform(df.limit(3).unionAll(other)).collect()}
+    assert flags[1].size == 1001 and flags[1].numNonzeros() == 1 and flags[0].numNonzeros() == 0
+
+
+def test_row_ids_of_an_empty_table(skewed):
+    assert rows.with_row_id(skewed.limit(0), "id").collect() == []
+    assert rows.with_row_id(skewed, "id", buckets=1).agg(F.max("row_id")).first()[0] == 999
 
 
 @pytest.mark.parametrize("block_rows", [1000, 7])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wherewords.functions import text
 from wherewords.operators.words import doc_freq
+from wherewords.session import stage
 
 
 def idf_weight(n: Column, df: Column) -> Column:
@@ -50,13 +51,14 @@ def tfidf(
     return scaled.select(key, term, (F.col("weight") / F.col("_norm")).alias("weight"))
 
 
-def count_vectorize(df: DataFrame, words: str, out: str, vocab_size: int = 1 << 18):
-    """(model, counts): a vocabulary from these rows and their count vectors.
+def count_vectorize(df: DataFrame, words: str, out: str):
+    """(model, counts): the whole vocabulary of these rows and their count vectors.
 
-    The vocabulary passes the driver, so it is for short lists of terms; counts
-    over a vocabulary of any size are the long tables of ``words.bag_of_words``.
+    The model holds the vocabulary on the driver, so it is for terms that fit there;
+    counts over a vocabulary of any size are the long tables of ``words.bag_of_words``.
     """
-    model = CountVectorizer(inputCol=words, outputCol=out, vocabSize=vocab_size).fit(df)
+    distinct = df.select(F.explode(words).alias("word")).distinct().count()
+    model = CountVectorizer(inputCol=words, outputCol=out, vocabSize=max(1, distinct)).fit(df)
     return model, model.transform(df)
 
 
@@ -98,7 +100,8 @@ def grams_long(df: DataFrame, key: str) -> DataFrame:
 
 def tfidf_fields(grams: DataFrame, key: str) -> DataFrame:
     """TF-IDF of the three fields in one job, each field a corpus of its own."""
-    tf = grams.groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+    # Staged: read four times below, for one pass over the texts.
+    tf = stage(grams.groupBy(key, "field", "term").agg(F.count("*").alias("tf")), "field-counts")
     n_docs = tf.groupBy("field").agg(F.count_distinct(key).alias("n"))
     freq = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = freq.join(F.broadcast(n_docs), "field").select(  # one row per field, three in all

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +33,23 @@ def one_hot(df: DataFrame, col: str, known: list[str], prefix: str = "lang_") ->
     )
 
 
-def known_values(df: DataFrame, col: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct values for :func:`one_hot`, refused above ``limit``."""
-    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values: not a column per value")
+def one_hot_vector(df: DataFrame, col: str, out: str) -> PipelineModel:
+    """Stages that add the flags of a value as one sparse vector, however many values.
+
+    The values of ``df`` are saved with the model; others, and nulls, give all 0.
+    """
+    index = f"{out}_index"
+    indexer = StringIndexer(
+        inputCol=col, outputCol=index, handleInvalid="keep", stringOrderType="alphabetAsc"
+    )
+    encoder = OneHotEncoder(inputCol=index, outputCol=out, dropLast=True)
+    return Pipeline(stages=[indexer, encoder]).fit(df)
+
+
+def known_values(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct values for :func:`one_hot`, whose result has a column for each; for
+    values without a known bound take :func:`one_hot_vector`."""
+    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

@@ -72,8 +72,10 @@ def with_row_id(df: DataFrame, order_by: str, buckets: int = 1000) -> DataFrame:
     Approximate quantiles cut the column into ``buckets`` ranges of about equal
     size; each range is numbered on its own and shifted by the rows before it.
     """
-    cuts = df.approxQuantile(order_by, [i / buckets for i in range(1, buckets)], 0.1 / buckets)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    shares = [i / buckets for i in range(1, buckets)]
+    # An empty table has no quantiles; the Bucketizer needs one cut at least.
+    cuts = [] if df.isEmpty() else df.approxQuantile(order_by, shares, 0.1 / buckets)
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(
         df.withColumn("_order", F.col(order_by).cast("double"))
     )

@@ -37,14 +37,15 @@ def build_session(app: str = "wherewords", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder that every executor can reach, as named by ``spark.checkpoint.dir`` or set
+    with ``setCheckpointDir``.
 
-    Only a local session may go without the setting; it gets a temporary folder.
+    Only a local session may go without; it gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _local_folders:
