@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import table, without_rows
+from wherewords.llm.tables import steady_places, table, without_rows
 from wherewords.session import stage
 
 WINDOW_WORDS, SHINGLE_WORDS = 13, 3
@@ -147,6 +147,8 @@ def without_contaminated(
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> DataFrame:
+    """:func:`contamination` with the place of each row."""
+    steady_places(docs.sparkSession)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.col(text)).alias("words")
     )

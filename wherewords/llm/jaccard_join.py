@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherewords.llm.components import merged
-from wherewords.llm.tables import WordBatch, list_array, mix, pieces, small_batches, table, texts_of, without_rows
+from wherewords.llm.tables import WordBatch, list_array, mix, pieces, small_batches, steady_places, table, texts_of, without_rows
 from wherewords.session import stage
 
 PERCENT, SHINGLE_WORDS = 90, 3
@@ -170,6 +170,7 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(row, key, n, comp) of all rows; no comp without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
+    steady_places(spark)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")
     )

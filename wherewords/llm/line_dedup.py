@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import free_name, table
+from wherewords.llm.tables import free_name, steady_places, table
 from wherewords.session import stage
 
 LEADING, FIELDS = 3, 3
@@ -60,6 +60,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     ``row`` is a row's place in ``docs``, which must be a stored table: it is read twice.
     """
+    steady_places(docs.sparkSession)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), line_templates(F.col(text)).alias("lines")
     )
@@ -90,6 +91,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     the first row keeps; among equal keys the first row read is first, null keys before
     all; other columns are left out; an empty table gives no rows.
     """
+    steady_places(docs.sparkSession)
     lines = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias(key),
         F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("bigint").alias("n_lines"),

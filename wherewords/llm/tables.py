@@ -22,6 +22,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def steady_places(spark: SparkSession) -> None:
+    """Rows of a stored table get the same place in every scan of this session.
+
+    Small tables are split by the number of cores, which changes when an executor is lost;
+    from now on it counts as it is.
+    """
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of ``docs`` has."""
     taken = {column.lower() for column in docs.columns}
@@ -36,6 +46,7 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     ``docs`` is a stored table, in which a row's place does not change. ``gone`` should be
     staged: its true size decides whether it is broadcast.
     """
+    steady_places(docs.sparkSession)
     place = free_name(docs, "row")
     numbered = docs.withColumn(place, F.monotonically_increasing_id())
     return numbered.join(gone.select(F.col("row").alias(place)), place, "left_anti").select(*docs.columns)
