@@ -1,17 +1,17 @@
 """Near-duplicate texts: a Jaccard join of shingle sets by adaptive multi-match prefixes.
 
-Shingles are in one global order, that of their hashes. Two sets with an overlap of at
-least ``o`` share ``l`` of their first ``n - o + l`` shingles for any ``l``, so a longer
-prefix may ask for more matches:
+All sets have their shingles in one order: those found to be common last, by how common
+they are, the others by hash. Two sets with an overlap of at least ``o`` share ``l`` of
+their first ``n - o + l`` shingles for any ``l``, so a longer prefix may ask for more:
 
 1. Every distinct set has a short prefix. How often its shingles occur in other prefixes
    is the estimate of its candidates; a set with too few shared ones has no partner.
 2. The sets that are left get a prefix by that estimate: the more candidates, the longer
    it is and the more shingles must be shared. Sets with too few are left out again.
-3. Of each shingle's sets one is the pivot, the same wherever it occurs; each set is
-   compared with the pivot it shares most with. Large groups become one component so,
-   without all their pairs.
-4. Pairs across components that share enough prefix shingles are compared one by one.
+3. Each shingle's sets have one pivot, the same wherever it occurs, and each set joins the
+   pivot it shares most with. Within such a cluster, sets are compared block by block, all
+   at once; a task holds two blocks, and gives no more links than they have sets.
+4. Pairs across clusters that share enough prefix shingles are compared one by one.
 
 A comparison takes the whole sets. Equal sets are one node from the start.
 """
@@ -33,8 +33,14 @@ PERCENT, SHINGLE_WORDS = 90, 3
 #: Matches asked for, as 1 in so many of a set's shingles; and from what estimate of
 #: candidates per prefix shingle on.
 FIRST_MATCHES = 20
-MATCHES = [(0, 20), (4, 5), (64, 2)]
-STAR_ROUNDS = 4
+MATCHES = [(0, 20), (3, 5), (16, 2)]
+#: A shingle is common from this share of all shingles on: so there are at most as many.
+COMMON = 500_000
+#: Matches with its pivot, as 1 in so many, for which a set joins a cluster.
+PIVOT_MATCHES = 60
+BLOCK_SETS = 200
+#: Rows of two blocks in an Arrow batch.
+BLOCK_ROWS = 4
 #: Up to so many nodes (8 bytes each) are broadcast to pick their texts; more are joined.
 BROADCAST_NODES = 2_000_000
 SET_ROWS = 500
@@ -61,32 +67,142 @@ def overlap(n):
     return -(-PERCENT * n // 100)
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, c) of the shingles that several sets of a batch have; with a null, how many
+    shingles there are."""
+    for batch in batches:
+        every = np.concatenate([*shingle_sets(texts_of(batch, "text")), np.zeros(0, np.uint64)])
+        unique, counts = np.unique(every, return_counts=True)
+        several = counts > 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([None, *unique[several].view(np.int64).tolist()], pa.int64()),
+                pa.array(np.append(len(every), counts[several])),
+            ],
+            ["shingle", "c"],
+        )
+
+
+class Order:
+    """The order of shingles: common ones last, rarest of them first."""
+
+    def __init__(self, common: np.ndarray, often: np.ndarray):
+        self.common, self.rank = common, np.argsort(np.argsort(often, kind="stable"), kind="stable")
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return shingles
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        last = self.common[at] == shingles
+        return np.concatenate([shingles[~last], shingles[last][np.argsort(self.rank[at[last]])]])
+
+
+def common_order(texts: DataFrame) -> Order:
+    """The order, from counts over all texts. At most :data:`COMMON` shingles are common:
+    each has that share of all."""
+    counts = stage(
+        texts.mapInArrow(repeated, "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c")), "repeated-shingles"
+    )
+    total = counts.filter("shingle is null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
+    common = counts.filter(F.col("shingle").isNotNull() & (F.col("c") * COMMON >= total)).toPandas()
+    shingles = common["shingle"].to_numpy(np.int64).view(np.uint64)
+    by_hash = np.argsort(shingles)
+    return Order(shingles[by_hash], common["c"].to_numpy(np.int64)[by_hash])
+
+
+def signatures(order):
     """Size, two digests and the short prefix of each set."""
-    for big in batches:
-        for batch in pieces(big, SET_ROWS):
-            sets = shingle_sets(texts_of(batch, "text"))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            prefixes = [s[: len(s) - overlap(len(s)) + max(1, len(s) // FIRST_MATCHES)] for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), batch.column("key"), pa.array(sizes),
-                    pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                    pa.array(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) for s in sets], np.uint64).view(np.int64)),
-                    list_array(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64), [len(p) for p in prefixes], pa.int64()),
-                ],
-                ["row", "key", "n", "sum", "xor", "prefix"],
-            )
-
-
-def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in pieces(big, SET_ROWS):
-            sets = shingle_sets(texts_of(batch, "text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), list_array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), [len(s) for s in sets], pa.int64())],
-                ["node", "shingles"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in pieces(big, SET_ROWS):
+                sets = shingle_sets(texts_of(batch, "text"))
+                sizes = np.array([len(s) for s in sets], np.int64)
+                prefixes = [order.value(s)[: len(s) - overlap(len(s)) + max(1, len(s) // FIRST_MATCHES)] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row"), batch.column("key"), pa.array(sizes),
+                        pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
+                        pa.array(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) for s in sets], np.uint64).view(np.int64)),
+                        _lists(prefixes),
+                    ],
+                    ["row", "key", "n", "sum", "xor", "prefix"],
+                )
+
+    return run
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return list_array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), [len(s) for s in sets], pa.int64())
+
+
+def whole_sets(order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in pieces(big, SET_ROWS):
+                sets = [order.value(s) for s in shingle_sets(texts_of(batch, "text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "shingles"])
+
+    return run
+
+
+def similar(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Pairs of places whose sets are similar enough. With ``left``, only pairs of one of
+    the first ``left`` sets and one of the others."""
+    sizes = np.array([len(s) for s in sets])
+    unique, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    several = counts[column] > 1
+    owner, column = owner[several], (np.cumsum(counts > 1) - 1)[column[several]]
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    a, b = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
+    same = np.zeros((len(sets[a]), len(sets[b])), np.float32)
+    width = 4096
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [begin, begin + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[lo:hi], column[lo:hi] - begin] = 1
+        same += has[a] @ has[b].T
+    union = sizes[a][:, None] + sizes[b][None, :] - same
+    found = np.argwhere(100 * same >= PERCENT * union)
+    return found + [0, left] if left else found[found[:, 0] < found[:, 1]]
+
+
+def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """As few of the pairs as hold their components together."""
+    top = list(range(n))
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    kept = []
+    for i, j in pairs.tolist():
+        x, y = find(i), find(j)
+        if x != y:
+            top[x] = y
+            kept.append((i, j))
+    return kept
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within a block, or between two."""
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for own, other in zip(batch.column("members"), batch.column("others"), strict=True):
+            nodes, sets, left = [], [], 0
+            for members in (own, other):
+                left = len(sets)
+                if members.is_valid:
+                    nodes += members.values.field("node").to_pylist()
+                    lists = members.values.field("shingles")
+                    sets += [lists[i].values.to_numpy() for i in range(len(lists))]
+            links += [(nodes[i], nodes[j]) for i, j in spanning(similar(sets, left if left < len(sets) else 0), len(sets))]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _least_overlap(n: Column) -> Column:
@@ -174,18 +290,19 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")
     )
+    order = spark.sparkContext.broadcast(common_order(rows.select("text")))
     signed = stage(
-        rows.mapInArrow(signatures, "row bigint, key bigint, n bigint, sum bigint, xor bigint, prefix array<bigint>"),
+        rows.mapInArrow(signatures(order), "row bigint, key bigint, n bigint, sum bigint, xor bigint, prefix array<bigint>"),
         "signatures",
     )
     same = ["n", "sum", "xor"]
     nodes = stage(signed.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node")), "nodes")
-    labels = _linked(rows, signed, nodes)
+    labels = _linked(rows, signed, nodes, order)
     placed = nodes.join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
     return stage(signed.select("row", "key", *same).join(placed, same, "left").select("row", "key", "n", "comp"), "members")
 
 
-def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, order) -> DataFrame:
     """(node, comp) of the nodes that may have partners."""
     one_in = F.lit(FIRST_MATCHES)
     first = (
@@ -200,7 +317,7 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     sets = stage(
         rows.select(F.col("row").alias("node"), "text").join(wanted, "node").mapInArrow(
-            whole_sets, "node bigint, shingles array<bigint>"
+            whole_sets(order), "node bigint, shingles array<bigint>"
         ),
         "sets",
     )
@@ -213,37 +330,57 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
         .join(sets, "node")
         .select("node", "n", "one_in", F.explode(F.slice("shingles", 1, size)).alias("shingle"))
     )
-    shared = stage(_shared(longer), "prefixes")
-    kept = stage(_promising(shared).select("node"), "candidates")
-    prefixes = stage(shared.join(kept, "node", "left_semi").select("shingle", "node", "n", "one_in"), "prefixes")
-    sets = stage(sets.join(kept, "node", "left_semi"), "sets")
+    kept = stage(_promising(_shared(longer)).select("node"), "candidates")
+    sets = stage(sets.join(kept, "node", "left_semi").withColumn("n", F.size("shingles").cast("bigint")), "sets")
 
+    size = (F.col("n") - _least_overlap(F.col("n")) + _least_matches(F.col("n"), F.lit(FIRST_MATCHES))).cast("int")
+    prefixes = sets.select("node", "n", F.lit(FIRST_MATCHES).alias("one_in"), F.explode(F.slice("shingles", 1, size)).alias("shingle"))
+    prefixes = stage(_shared(prefixes).select("shingle", "node", "n"), "prefixes")
     labels = kept.select("node", F.col("node").alias("comp"))
-    for number in range(STAR_ROUNDS):
-        links = stage(_verified(_pivot_pairs(prefixes, labels, number), sets), "links")
-        if links.isEmpty():
-            break
-        labels = merged(labels, links)
-    links = stage(_verified(_cross_pairs(prefixes, labels), sets), "links")
-    return merged(labels, links)
-
-
-def _pivot_pairs(prefixes: DataFrame, labels: DataFrame, number: int) -> DataFrame:
-    """(a, b): each node with the pivot, of another component, that it shares most with."""
-    own = prefixes.join(labels, "node")
-    rank = F.xxhash64("node", F.lit(number))
-    pivots = own.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "comp")).alias("pivot"))
-    met = own.join(pivots, "shingle").filter(
-        (F.col("comp") != F.col("pivot.comp")) & _fit(F.col("n"), F.col("pivot.n"))
-    )
-    counts = met.groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count("*").alias("hits"))
-    best = counts.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("best"))
-    return best.select("a", F.col("best.b").alias("b"))
+    clusters = merged(labels, stage(_pivots(prefixes), "pivots"))
+    links = _block_links(clusters, sets).unionAll(_verified(_cross_pairs(prefixes, clusters), sets))
+    return merged(labels, stage(links, "links"))
 
 
-def _cross_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs across components that share as many prefix shingles as asked for."""
-    own = prefixes.join(labels, "node")
+def _pivots(prefixes: DataFrame) -> DataFrame:
+    """(a, b): each node with the pivot that it shares most with, if that is enough."""
+    rank = F.xxhash64("node")
+    pivots = prefixes.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "node", "n")).alias("pivot"))
+    met = prefixes.join(pivots, "shingle").filter(
+        (F.col("node") != F.col("pivot.node")) & _fit(F.col("n"), F.col("pivot.n"))
+    )
+    counts = met.groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(
+        F.count("*").alias("hits"), F.first(F.least("n", "pivot.n")).alias("n")
+    )
+    best = counts.groupBy("a").agg(F.max(F.struct("hits", "b", "n")).alias("best"))
+    return best.filter(F.col("best.hits") >= _least_matches(F.col("best.n"), F.lit(PIVOT_MATCHES))).select("a", F.col("best.b").alias("b"))
+
+
+def _block_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the nodes of a cluster, all pairs compared, block by block."""
+    spark = sets.sparkSession
+    sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"), F.count("*").alias("size")).filter("size > 1")
+    placed = clusters.join(sizes, "comp").join(sets, "node")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    # About BLOCK_SETS sets in each.
+    blocks = stage(
+        placed.groupBy("comp", "blocks", block.alias("block")).agg(F.collect_list(F.struct("node", "shingles")).alias("members")),
+        "blocks",
+    )
+    other = blocks.select("comp", F.col("block").alias("after"), F.col("members").alias("others"))
+    pairs = blocks.filter("blocks > 1").join(other, "comp").filter("block < after").select("members", "others")
+    alone = blocks.select("members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
+    try:
+        return stage(alone.unionAll(pairs).mapInArrow(compared, "a bigint, b bigint"), "block-links")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def _cross_pairs(prefixes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b): all pairs across clusters that share as many prefix shingles as asked for."""
+    own = prefixes.join(clusters, "node")
     split = own.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     left = stage(own.join(split.select("shingle"), "shingle", "left_semi"), "open-prefixes")
     a, b = left.alias("a"), left.alias("b")
@@ -251,11 +388,10 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
         b,
         (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")) & _fit(F.col("a.n"), F.col("b.n")),
     )
-    matches = F.least(*(_least_matches(F.col(f"{side}.n"), F.col(f"{side}.one_in")) for side in "ab"))
     return (
         met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .agg(F.count("*").alias("hits"), F.first(matches).alias("matches"))
-        .filter("hits >= matches")
+        .agg(F.count("*").alias("hits"), F.first(F.least("a.n", "b.n")).alias("n"))
+        .filter(F.col("hits") >= _least_matches(F.col("n"), F.lit(FIRST_MATCHES)))
     )
 
 
