@@ -58,11 +58,15 @@ def line_templates(text: Column) -> Column:
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, dropped): numbers, from 0, of the lines that a row loses; rows with any.
 
-    ``row`` is a row's place in ``docs``, which must be a stored table: it is read twice.
+    ``row`` is a row's place in ``docs``, which must be a stored table.
     """
     steady_places(docs.sparkSession)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), line_templates(F.col(text)).alias("lines")
+    # Staged: read twice, for one pass over the texts.
+    rows = stage(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), line_templates(F.col(text)).alias("lines")
+        ),
+        "line-templates",
     )
     own = rows.select("row", "key", F.explode(F.array_distinct(F.flatten("lines"))).alias("template"))
     least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, MIN_DOCS_LONG).otherwise(MIN_DOCS)
