@@ -20,8 +20,8 @@ from wherewords.session import stage
 #: At least 16 key characters with a digit among them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
 BEFORE, AFTER = 60, 40
-#: Most frequent words of the corpus that count as dictionary.
-DICTIONARY_WORDS = 5000
+#: A word counts as dictionary from this share of all words on: so there are as many at most.
+DICTIONARY_WORDS = 20_000
 TREES, DEPTH = 30, 8
 
 # Words that stand beside secrets, and beside what only looks like one.
@@ -56,10 +56,11 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word): the most frequent words of all texts, 3 to 12 letters, without digits around."""
+    """(word): the frequent words of all texts, 3 to 12 letters, without digits around."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![0-9a-z])[a-z]{3,12}(?![0-9a-z])"), F.lit(0))
-    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word")
+    counts = stage(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return counts.filter(F.col("n") * DICTIONARY_WORDS >= total).select("word")
 
 
 def _changes(candidate: Column) -> Column:
