@@ -11,10 +11,10 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__driver__memory="6g",
+        spark__driver__memory="6g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("staged")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wherewords import session
 from wherewords.functions import scalars
 from wherewords.operators import aggregates, clusters, features, joins, regions, rows, similarity
 from wherewords.operators import windows, words
@@ -78,6 +79,16 @@ def test_one_hot_of_many_values(spark):
     assert flags[1].size == 1001 and flags[1].numNonzeros() == 1 and flags[0].numNonzeros() == 0
 
 
+def test_staged_tables_are_dropped(spark, tmp_path):
+    path = tmp_path / "other"
+    kept = session._staged.pop(spark.sparkContext.applicationId, [])
+    session._staged[spark.sparkContext.applicationId] = [str(path)]
+    spark.range(3).write.parquet(str(path))
+    session.drop_staged(spark)
+    session._staged[spark.sparkContext.applicationId] = kept
+    assert not path.exists()
+
+
 def test_row_ids_of_an_empty_table(skewed):
     assert rows.with_row_id(skewed.limit(0), "id").collect() == []
     assert rows.with_row_id(skewed, "id", buckets=1).agg(F.max("row_id")).first()[0] == 999

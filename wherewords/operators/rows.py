@@ -73,8 +73,9 @@ def with_row_id(df: DataFrame, order_by: str, buckets: int = 1000) -> DataFrame:
     size; each range is numbered on its own and shifted by the rows before it.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    # An empty table has no quantiles; the Bucketizer needs one cut at least.
-    cuts = [] if df.isEmpty() else df.approxQuantile(order_by, shares, 0.1 / buckets)
+    # Neither an empty table nor one bucket has quantiles; the Bucketizer needs a cut.
+    ready = shares and not df.isEmpty()
+    cuts = df.approxQuantile(order_by, shares, 0.1 / buckets) if ready else []
     splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(
         df.withColumn("_order", F.col(order_by).cast("double"))

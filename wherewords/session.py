@@ -22,6 +22,7 @@ SETTINGS = {
 }
 
 _local_folders: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "wherewords", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,7 +56,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Removes all tables staged in this application; results that read them must be
+    written by then."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
