@@ -41,8 +41,9 @@ PIVOT_MATCHES = 60
 BLOCK_SETS = 200
 #: Rows of two blocks in an Arrow batch.
 BLOCK_ROWS = 4
-#: Up to so many nodes (8 bytes each) are broadcast to pick their texts; more are joined.
-BROADCAST_NODES = 2_000_000
+#: Up to so many rows of a few numbers are broadcast to pick texts or sets; with more, those
+#: are shuffled for it.
+BROADCAST_ROWS = 1_000_000
 SET_ROWS = 500
 
 
@@ -132,6 +133,11 @@ def signatures(order):
     return run
 
 
+def _few(numbers: DataFrame) -> DataFrame:
+    """A staged table of numbers, to be broadcast if it is small enough."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return list_array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), [len(s) for s in sets], pa.int64())
 
@@ -141,7 +147,9 @@ def whole_sets(order):
         for big in batches:
             for batch in pieces(big, SET_ROWS):
                 sets = [order.value(s) for s in shingle_sets(texts_of(batch, "text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(name) for name in ("node", "n", "often")), _lists(sets)], ["node", "n", "often", "shingles"]
+                )
 
     return run
 
@@ -248,7 +256,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     same = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - same
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(100 * same >= PERCENT * union).select("a", "b")
+    pairs = _few(stage(pairs.select("a", "b"), "pairs"))
+    return left.join(pairs, "a").join(right, "b").filter(100 * same >= PERCENT * union).select("a", "b")
 
 
 def _fit(n: Column, m: Column) -> Column:
@@ -307,17 +316,14 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, order) -> Data
     one_in = F.lit(FIRST_MATCHES)
     first = (
         signed.select(F.col("row").alias("node"), "n", "prefix")
-        .join(nodes.select("node"), "node", "left_semi")
+        .join(_few(nodes.select("node")), "node", "left_semi")
         .select("node", "n", one_in.alias("one_in"), F.explode("prefix").alias("shingle"))
     )
     partners = stage(_promising(_shared(first)), "promising")
 
-    wanted = partners.select("node")
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
     sets = stage(
-        rows.select(F.col("row").alias("node"), "text").join(wanted, "node").mapInArrow(
-            whole_sets(order), "node bigint, shingles array<bigint>"
+        rows.select(F.col("row").alias("node"), "text").join(_few(partners), "node").mapInArrow(
+            whole_sets(order), "node bigint, n bigint, often double, shingles array<bigint>"
         ),
         "sets",
     )
@@ -325,13 +331,11 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, order) -> Data
     for from_often, one in MATCHES[1:]:
         divisor = F.when(F.col("often") >= from_often, one).otherwise(divisor)
     size = (F.col("n") - _least_overlap(F.col("n")) + _least_matches(F.col("n"), F.col("one_in"))).cast("int")
-    longer = (
-        partners.withColumn("one_in", divisor)
-        .join(sets, "node")
-        .select("node", "n", "one_in", F.explode(F.slice("shingles", 1, size)).alias("shingle"))
+    longer = sets.withColumn("one_in", divisor).select(
+        "node", "n", "one_in", F.explode(F.slice("shingles", 1, size)).alias("shingle")
     )
     kept = stage(_promising(_shared(longer)).select("node"), "candidates")
-    sets = stage(sets.join(kept, "node", "left_semi").withColumn("n", F.size("shingles").cast("bigint")), "sets")
+    sets = stage(sets.join(_few(kept), "node", "left_semi").select("node", "n", "shingles"), "sets")
 
     size = (F.col("n") - _least_overlap(F.col("n")) + _least_matches(F.col("n"), F.lit(FIRST_MATCHES))).cast("int")
     prefixes = sets.select("node", "n", F.lit(FIRST_MATCHES).alias("one_in"), F.explode(F.slice("shingles", 1, size)).alias("shingle"))
@@ -360,11 +364,11 @@ def _block_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the nodes of a cluster, all pairs compared, block by block."""
     spark = sets.sparkSession
     sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"), F.count("*").alias("size")).filter("size > 1")
-    placed = clusters.join(sizes, "comp").join(sets, "node")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    placed = stage(clusters.join(sizes, "comp").select("node", "comp", "blocks", block.alias("block")), "places")
     # About BLOCK_SETS sets in each.
     blocks = stage(
-        placed.groupBy("comp", "blocks", block.alias("block")).agg(F.collect_list(F.struct("node", "shingles")).alias("members")),
+        sets.select("node", "shingles").join(_few(placed), "node").groupBy("comp", "blocks", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("members")),
         "blocks",
     )
     other = blocks.select("comp", F.col("block").alias("after"), F.col("members").alias("others"))
