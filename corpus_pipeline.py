@@ -1,8 +1,9 @@
-"""Documents to training sequences: five stages, each written as Parquet and read again.
+"""Documents to training sequences: six stages, each written as Parquet and read again.
 
 Every stage takes what its predecessor kept, and its decisions hold: toxic documents go,
-recurring lines go, of near-duplicates one stays, contaminated documents go, and the rest
-is packed. All stages but the last return the columns of ``documents``.
+recurring lines go, of near-duplicates one stays, contaminated documents go, passages that
+an earlier document holds go, and the rest is packed. All stages but the last return the
+columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherewords.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
+from wherewords.llm import decontaminate, exact_runs, jaccard_join, line_dedup, packing, toxicity
 from wherewords.llm.encode import read_tokenizer
 from wherewords.llm.tables import table
 from wherewords.session import stage
@@ -35,6 +36,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """After the stages that drop whole documents: no passage goes for the sake of one that
+    does not stay, and near copies do not leave their differences behind."""
+    return exact_runs.without_repeated_runs(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizer = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(docs, tokenizer, end_id=2)
@@ -45,6 +52,7 @@ STAGES = [
     ("line dedup", drop_recurring_lines),
     ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
+    ("exact runs", drop_repeated_runs),
     ("packing", pack),
 ]
 
