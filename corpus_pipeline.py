@@ -1,8 +1,8 @@
-"""Documents to training sequences: six stages, each written as Parquet and read again.
+"""Documents to training sequences: seven stages, each written as Parquet and read again.
 
 Every stage takes what its predecessor kept, and its decisions hold: toxic documents go,
-recurring lines go, of near-duplicates one stays, contaminated documents go, passages that
-an earlier document holds go, and the rest is packed. All stages but the last return the
+recurring lines go, of near-duplicates one stays, contaminated documents go, of near copies
+one stays, passages that an earlier document holds go, and the rest is packed. All stages but the last return the
 columns of ``documents``.
 """
 
@@ -17,6 +17,9 @@ from wherewords.llm.encode import read_tokenizer
 from wherewords.llm.tables import table
 from wherewords.session import stage
 
+#: Shingle words and least similarity of near copies.
+COPY_WORDS, COPY_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, toxicity.learning_rows(table(spark, sf_dir, "labels")))
@@ -36,6 +39,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies with more differences than the contract of op4 lets through."""
+    return jaccard_join.one_per_component(docs, words=COPY_WORDS, percent=COPY_PERCENT)
+
+
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """After the stages that drop whole documents: no passage goes for the sake of one that
     does not stay, and near copies do not leave their differences behind."""
@@ -52,6 +60,7 @@ STAGES = [
     ("line dedup", drop_recurring_lines),
     ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
+    ("near copies", drop_near_copies),
     ("exact runs", drop_repeated_runs),
     ("packing", pack),
 ]

@@ -29,6 +29,7 @@ from wherewords.llm.components import merged
 from wherewords.llm.tables import WordBatch, list_array, mix, pieces, small_batches, steady_places, table, texts_of, without_rows
 from wherewords.session import stage
 
+#: The contract of op4_jaccard_join; elsewhere they are arguments.
 PERCENT, SHINGLE_WORDS = 90, 3
 #: Matches asked for, as 1 in so many of a set's shingles; and from what estimate of
 #: candidates per prefix shingle on.
@@ -47,41 +48,50 @@ BROADCAST_ROWS = 1_000_000
 SET_ROWS = 500
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles; a shorter text is one shingle."""
+def shingle_sets(texts: list[str], size: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of ``size`` words; a shorter text is one shingle."""
     words = WordBatch(texts)
     h = words.hashes
     spread = np.uint64(0x9E3779B97F4A7C15)
-    three = mix(h[:-2] * spread + mix(h[1:-1] * spread + mix(h[2:]))) if len(h) > 2 else h[:0]
+    n = max(len(h) - size + 1, 0)
+    every = mix(h[size - 1 :])
+    for k in range(size - 2, -1, -1):
+        every = mix(h[k : k + n] * spread + every)
     sets = []
     for begin, end in zip(words.first[:-1], words.first[1:], strict=True):
-        if end - begin >= SHINGLE_WORDS:
-            sets.append(np.unique(three[begin : end - SHINGLE_WORDS + 1]))
+        if end - begin >= size:
+            sets.append(np.unique(every[begin : end - size + 1]))
         else:
-            whole = h[begin:end]
-            sets.append(mix(whole[:1] + spread * np.uint64(len(whole)) + (mix(whole[1:]) if len(whole) > 1 else np.uint64(0))))
+            whole, rest = h[begin:end], np.zeros(1, np.uint64)
+            for k in range(len(whole) - 1, 0, -1):
+                rest = mix(whole[k : k + 1] + rest * spread)
+            sets.append(mix(whole[:1] + spread * np.uint64(len(whole)) + rest[: len(whole)]))
     return sets
 
 
-def overlap(n):
+def overlap(n, percent: int = PERCENT):
     """The least overlap of a set of ``n`` with any partner."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated(words: int):
     """(shingle, c) of the shingles that several sets of a batch have; with a null, how many
     shingles there are."""
-    for batch in batches:
-        every = np.concatenate([*shingle_sets(texts_of(batch, "text")), np.zeros(0, np.uint64)])
-        unique, counts = np.unique(every, return_counts=True)
-        several = counts > 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([None, *unique[several].view(np.int64).tolist()], pa.int64()),
-                pa.array(np.append(len(every), counts[several])),
-            ],
-            ["shingle", "c"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.concatenate([*shingle_sets(texts_of(batch, "text"), words), np.zeros(0, np.uint64)])
+            unique, counts = np.unique(every, return_counts=True)
+            several = counts > 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None, *unique[several].view(np.int64).tolist()], pa.int64()),
+                    pa.array(np.append(len(every), counts[several])),
+                ],
+                ["shingle", "c"],
+            )
+
+    return run
 
 
 class Order:
@@ -98,11 +108,11 @@ class Order:
         return np.concatenate([shingles[~last], shingles[last][np.argsort(self.rank[at[last]])]])
 
 
-def common_order(texts: DataFrame) -> Order:
+def common_order(texts: DataFrame, words: int) -> Order:
     """The order, from counts over all texts. At most :data:`COMMON` shingles are common:
     each has that share of all."""
     counts = stage(
-        texts.mapInArrow(repeated, "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c")), "repeated-shingles"
+        texts.mapInArrow(repeated(words), "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c")), "repeated-shingles"
     )
     total = counts.filter("shingle is null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
     common = counts.filter(F.col("shingle").isNotNull() & (F.col("c") * COMMON >= total)).toPandas()
@@ -111,15 +121,15 @@ def common_order(texts: DataFrame) -> Order:
     return Order(shingles[by_hash], common["c"].to_numpy(np.int64)[by_hash])
 
 
-def signatures(order):
+def signatures(order, words: int, percent: int):
     """Size, two digests and the short prefix of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big, SET_ROWS):
-                sets = shingle_sets(texts_of(batch, "text"))
+                sets = shingle_sets(texts_of(batch, "text"), words)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                prefixes = [order.value(s)[: len(s) - overlap(len(s)) + max(1, len(s) // FIRST_MATCHES)] for s in sets]
+                prefixes = [order.value(s)[: len(s) - overlap(len(s), percent) + max(1, len(s) // FIRST_MATCHES)] for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row"), batch.column("key"), pa.array(sizes),
@@ -142,11 +152,11 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return list_array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), [len(s) for s in sets], pa.int64())
 
 
-def whole_sets(order):
+def whole_sets(order, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big, SET_ROWS):
-                sets = [order.value(s) for s in shingle_sets(texts_of(batch, "text"))]
+                sets = [order.value(s) for s in shingle_sets(texts_of(batch, "text"), words)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(name) for name in ("node", "n", "often")), _lists(sets)], ["node", "n", "often", "shingles"]
                 )
@@ -154,7 +164,7 @@ def whole_sets(order):
     return run
 
 
-def similar(sets: list[np.ndarray], left: int) -> np.ndarray:
+def similar(sets: list[np.ndarray], left: int, percent: int = PERCENT) -> np.ndarray:
     """Pairs of places whose sets are similar enough. With ``left``, only pairs of one of
     the first ``left`` sets and one of the others."""
     sizes = np.array([len(s) for s in sets])
@@ -173,7 +183,7 @@ def similar(sets: list[np.ndarray], left: int) -> np.ndarray:
         has[owner[lo:hi], column[lo:hi] - begin] = 1
         same += has[a] @ has[b].T
     union = sizes[a][:, None] + sizes[b][None, :] - same
-    found = np.argwhere(100 * same >= PERCENT * union)
+    found = np.argwhere(100 * same >= percent * union)
     return found + [0, left] if left else found[found[:, 0] < found[:, 1]]
 
 
@@ -196,25 +206,29 @@ def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(percent: int):
     """Links (a, b) within a block, or between two."""
-    for batch in batches:
-        links: list[tuple[int, int]] = []
-        for own, other in zip(batch.column("members"), batch.column("others"), strict=True):
-            nodes, sets, left = [], [], 0
-            for members in (own, other):
-                left = len(sets)
-                if members.is_valid:
-                    nodes += members.values.field("node").to_pylist()
-                    lists = members.values.field("shingles")
-                    sets += [lists[i].values.to_numpy() for i in range(len(lists))]
-            links += [(nodes[i], nodes[j]) for i, j in spanning(similar(sets, left if left < len(sets) else 0), len(sets))]
-        a, b = zip(*links, strict=True) if links else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for own, other in zip(batch.column("members"), batch.column("others"), strict=True):
+                nodes, sets, left = [], [], 0
+                for members in (own, other):
+                    left = len(sets)
+                    if members.is_valid:
+                        nodes += members.values.field("node").to_pylist()
+                        lists = members.values.field("shingles")
+                        sets += [lists[i].values.to_numpy() for i in range(len(lists))]
+                links += [(nodes[i], nodes[j]) for i, j in spanning(similar(sets, left if left < len(sets) else 0, percent), len(sets))]
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
-def _least_overlap(n: Column) -> Column:
-    return F.ceil(n * PERCENT / 100)
+def _least_overlap(n: Column, percent: int) -> Column:
+    return F.ceil(n * percent / 100)
 
 
 def _least_matches(n: Column, one_in: Column) -> Column:
@@ -231,7 +245,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.join(often, "shingle")
 
 
-def _promising(shared: DataFrame) -> DataFrame:
+def _promising(shared: DataFrame, percent: int) -> DataFrame:
     """(node, n, often): nodes that share enough for some kind of partner.
 
     A partner is no smaller than the node's least overlap, and of both demands the smaller
@@ -245,53 +259,58 @@ def _promising(shared: DataFrame) -> DataFrame:
     )
     enough = F.lit(False)
     for _, one in MATCHES:
-        least = _least_matches(_least_overlap(F.col("n")), F.greatest("one_in", F.lit(one)))
+        least = _least_matches(_least_overlap(F.col("n"), percent), F.greatest("one_in", F.lit(one)))
         enough = enough | (F.col(f"hits_{one}") >= least)
     return sums.filter(enough).select("node", "n", "often")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     same = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - same
     pairs = _few(stage(pairs.select("a", "b"), "pairs"))
-    return left.join(pairs, "a").join(right, "b").filter(100 * same >= PERCENT * union).select("a", "b")
+    return left.join(pairs, "a").join(right, "b").filter(100 * same >= percent * union).select("a", "b")
 
 
-def _fit(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _fit(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
     """One row per document: (key, n_shingles, component_id).
 
-    Words are runs without ASCII white space, A-Z in lower case; texts of 1 or 2 words are
-    one shingle; nulls and empty texts have none and are alone. ``component_id`` is the
+    Two texts are linked if their sets of shingles, ``words`` words in a row, have a Jaccard
+    similarity of ``percent`` or more. Words are runs without ASCII white space, A-Z in lower
+    case; texts of fewer words are one shingle; nulls and empty texts have none and are alone. ``component_id`` is the
     smallest key of the component; rows without a key count in it but don't name it.
     Repeated rows are in one component; other columns are left out; an empty table gives
     no rows. ``docs`` is a stored table: it is read twice, and rows are told apart by
     their place.
     """
-    members = _members(docs, key, text)
+    members = _members(docs, key, text, words, percent)
     names = members.filter("comp is not null").groupBy("comp").agg(F.min("key").alias("name"))
     return members.join(names, "comp", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id")
     )
 
 
-def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_component(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
     """``docs`` with its columns and of each component the row with the smallest key, then
     the first one; rows without a key last. Rows without shingles all stay."""
-    members = _members(docs, key, text).filter("comp is not null")
+    members = _members(docs, key, text, words, percent).filter("comp is not null")
     rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
     first = members.groupBy("comp").agg(F.min(rank).alias("first"), F.count("*").alias("size")).filter("size > 1")
     gone = members.join(first, "comp").filter(F.col("row") != F.col("first.row")).select("row")
     return without_rows(docs, stage(gone, "near-duplicates"))
 
 
-def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _members(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(row, key, n, comp) of all rows; no comp without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -299,19 +318,19 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")
     )
-    order = spark.sparkContext.broadcast(common_order(rows.select("text")))
+    order = spark.sparkContext.broadcast(common_order(rows.select("text"), words))
     signed = stage(
-        rows.mapInArrow(signatures(order), "row bigint, key bigint, n bigint, sum bigint, xor bigint, prefix array<bigint>"),
+        rows.mapInArrow(signatures(order, words, percent), "row bigint, key bigint, n bigint, sum bigint, xor bigint, prefix array<bigint>"),
         "signatures",
     )
     same = ["n", "sum", "xor"]
     nodes = stage(signed.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node")), "nodes")
-    labels = _linked(rows, signed, nodes, order)
+    labels = _linked(rows, signed, nodes, order, words, percent)
     placed = nodes.join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
     return stage(signed.select("row", "key", *same).join(placed, same, "left").select("row", "key", "n", "comp"), "members")
 
 
-def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, order) -> DataFrame:
+def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, order, words: int, percent: int) -> DataFrame:
     """(node, comp) of the nodes that may have partners."""
     one_in = F.lit(FIRST_MATCHES)
     first = (
@@ -319,39 +338,39 @@ def _linked(rows: DataFrame, signed: DataFrame, nodes: DataFrame, order) -> Data
         .join(_few(nodes.select("node")), "node", "left_semi")
         .select("node", "n", one_in.alias("one_in"), F.explode("prefix").alias("shingle"))
     )
-    partners = stage(_promising(_shared(first)), "promising")
+    partners = stage(_promising(_shared(first), percent), "promising")
 
     sets = stage(
         rows.select(F.col("row").alias("node"), "text").join(_few(partners), "node").mapInArrow(
-            whole_sets(order), "node bigint, n bigint, often double, shingles array<bigint>"
+            whole_sets(order, words), "node bigint, n bigint, often double, shingles array<bigint>"
         ),
         "sets",
     )
     divisor = F.lit(MATCHES[0][1])
     for from_often, one in MATCHES[1:]:
         divisor = F.when(F.col("often") >= from_often, one).otherwise(divisor)
-    size = (F.col("n") - _least_overlap(F.col("n")) + _least_matches(F.col("n"), F.col("one_in"))).cast("int")
+    size = (F.col("n") - _least_overlap(F.col("n"), percent) + _least_matches(F.col("n"), F.col("one_in"))).cast("int")
     longer = sets.withColumn("one_in", divisor).select(
         "node", "n", "one_in", F.explode(F.slice("shingles", 1, size)).alias("shingle")
     )
-    kept = stage(_promising(_shared(longer)).select("node"), "candidates")
+    kept = stage(_promising(_shared(longer), percent).select("node"), "candidates")
     sets = stage(sets.join(_few(kept), "node", "left_semi").select("node", "n", "shingles"), "sets")
 
-    size = (F.col("n") - _least_overlap(F.col("n")) + _least_matches(F.col("n"), F.lit(FIRST_MATCHES))).cast("int")
+    size = (F.col("n") - _least_overlap(F.col("n"), percent) + _least_matches(F.col("n"), F.lit(FIRST_MATCHES))).cast("int")
     prefixes = sets.select("node", "n", F.lit(FIRST_MATCHES).alias("one_in"), F.explode(F.slice("shingles", 1, size)).alias("shingle"))
     prefixes = stage(_shared(prefixes).select("shingle", "node", "n"), "prefixes")
     labels = kept.select("node", F.col("node").alias("comp"))
-    clusters = merged(labels, stage(_pivots(prefixes), "pivots"))
-    links = _block_links(clusters, sets).unionAll(_verified(_cross_pairs(prefixes, clusters), sets))
+    clusters = merged(labels, stage(_pivots(prefixes, percent), "pivots"))
+    links = _block_links(clusters, sets, percent).unionAll(_verified(_cross_pairs(prefixes, clusters, percent), sets, percent))
     return merged(labels, stage(links, "links"))
 
 
-def _pivots(prefixes: DataFrame) -> DataFrame:
+def _pivots(prefixes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node with the pivot that it shares most with, if that is enough."""
     rank = F.xxhash64("node")
     pivots = prefixes.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "node", "n")).alias("pivot"))
     met = prefixes.join(pivots, "shingle").filter(
-        (F.col("node") != F.col("pivot.node")) & _fit(F.col("n"), F.col("pivot.n"))
+        (F.col("node") != F.col("pivot.node")) & _fit(F.col("n"), F.col("pivot.n"), percent)
     )
     counts = met.groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(
         F.count("*").alias("hits"), F.first(F.least("n", "pivot.n")).alias("n")
@@ -360,7 +379,7 @@ def _pivots(prefixes: DataFrame) -> DataFrame:
     return best.filter(F.col("best.hits") >= _least_matches(F.col("best.n"), F.lit(PIVOT_MATCHES))).select("a", F.col("best.b").alias("b"))
 
 
-def _block_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the nodes of a cluster, all pairs compared, block by block."""
     spark = sets.sparkSession
     sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"), F.count("*").alias("size")).filter("size > 1")
@@ -377,12 +396,12 @@ def _block_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
     try:
-        return stage(alone.unionAll(pairs).mapInArrow(compared, "a bigint, b bigint"), "block-links")
+        return stage(alone.unionAll(pairs).mapInArrow(compared(percent), "a bigint, b bigint"), "block-links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def _cross_pairs(prefixes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _cross_pairs(prefixes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs across clusters that share as many prefix shingles as asked for."""
     own = prefixes.join(clusters, "node")
     split = own.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
@@ -390,7 +409,7 @@ def _cross_pairs(prefixes: DataFrame, clusters: DataFrame) -> DataFrame:
     a, b = left.alias("a"), left.alias("b")
     met = a.join(
         b,
-        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")) & _fit(F.col("a.n"), F.col("b.n")),
+        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")) & _fit(F.col("a.n"), F.col("b.n"), percent),
     )
     return (
         met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
