@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives out by a random forest.
 
-A candidate is a run of key characters with a digit. The forest sees its length and
+A candidate is a long run of key characters with a digit, anything in an issuer's format,
+or whatever non-blank value is assigned to a secret's name. The forest sees its length and
 alphabet, how often neighbouring characters change their kind, how much of it dictionary
 words cover, the path of its document, and the words on either side. It is trained on
 labelled findings; everything is DataFrame functions and MLlib.
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from wherewords.llm.tables import crc_bucket, table
 from wherewords.session import stage
 
-#: At least 16 key characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
 BEFORE, AFTER = 60, 40
 #: A word counts as dictionary from this share of all words on: so there are as many at most.
 DICTIONARY_WORDS = 20_000
@@ -31,6 +30,25 @@ TEST_PATHS = r"(?i)(test|example|sample|fixture|mock|doc)"
 # Formats that issuers document.
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$"
 
+#: At least 16 key characters with a digit among them.
+KEY = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
+_APART, _ENDS = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
+#: Behind a secret's name, which may go on behind a mark, and = or :. A look-behind has an
+#: end, so up to 8 blanks; the first two conditions only spare most places the third.
+ASSIGNED = (
+    r"(?<![^=:\s\"'`])(?<=[=:]\s{0,8}[\"'`]?)"
+    rf"(?<=(?i:{SECRET_WORDS.removeprefix('(?i)')})(?:[_-][A-Za-z0-9_-]{{0,24}})?[\"'`]?\s{{0,8}}[=:]\s{{0,8}}[\"'`]?)"
+)
+#: Non-blank characters up to a quote; marks that end a clause don't belong to it.
+VALUE = r"(?![=:])[^\s\"'`]*[^\s\"'`,;.)\]}>]"
+#: Of an assigned value, the key if nothing but a delimiter follows, else all of it.
+CANDIDATE = "|".join([
+    _APART + "(?:" + ISSUED.replace("^", "").replace("$", "") + ")" + _ENDS,
+    _APART + KEY + r"(?=[\s\"'`,;.)\]}>&=]|$)",
+    ASSIGNED + VALUE,
+    _APART + KEY,
+])
+
 
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """(row, key, path, number, start, candidate, before, after): all candidates of all texts.
@@ -64,7 +82,7 @@ def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _changes(candidate: Column) -> Column:
-    kinds = ["[a-z]", "[A-Z]", "[0-9]", "[+/_-]"]
+    kinds = ["[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"]
     pairs = "|".join(f"{a}(?={b})" for a in kinds for b in kinds if a != b)
     return F.regexp_count(candidate, F.lit(pairs))
 
@@ -74,7 +92,7 @@ FEATURES = {
     "changes": lambda: _changes(F.col("candidate")) / F.char_length("candidate"),
     "digits": lambda: F.regexp_count("candidate", F.lit("[0-9]")) / F.char_length("candidate"),
     "upper": lambda: F.regexp_count("candidate", F.lit("[A-Z]")) / F.char_length("candidate"),
-    "marks": lambda: F.regexp_count("candidate", F.lit("[+/_-]")) / F.char_length("candidate"),
+    "marks": lambda: F.regexp_count("candidate", F.lit("[^A-Za-z0-9]")) / F.char_length("candidate"),
     "hexadecimal": lambda: F.col("candidate").rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
     "variety": lambda: F.size(F.array_distinct(F.split("candidate", ""))) / F.least(F.char_length("candidate"), F.lit(64)),
     "covered": lambda: F.col("covered") / F.char_length("candidate"),
@@ -124,11 +142,15 @@ def scan(
 
 
 def by_format(ready: DataFrame) -> DataFrame:
-    """Labels where the text itself tells: an issuer's format or an assignment to a secret's
-    name is a secret; digits alone, or a harmless word just before, is none. Others, and a
-    fifth of the documents held out, have no label."""
-    secret = F.col("candidate").rlike(ISSUED) | F.col("before").rlike(SECRET_WORDS + r"[\"']?\s*[=:]\s*[\"']?$")
-    harmless = F.col("candidate").rlike("^[0-9]+$") | F.col("before").rlike(HARMLESS_WORDS + r"[\"']?\s*[=: ]\s*[\"']?$")
+    """Labels where the text itself tells: an issuer's format, or a key or a value of letters
+    and digits assigned to a secret's name, is a secret; digits alone, a harmless word just
+    before, or dictionary words and nothing else as the value of a secret's name, is none.
+    Others, and a fifth of the documents held out, have no label."""
+    candidate, assigned = F.col("candidate"), F.col("before").rlike(ASSIGNED + "$")
+    secret = candidate.rlike(ISSUED) | (assigned & candidate.rlike(f"^{KEY}$|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]"))
+    words = assigned & (F.col("covered") >= F.char_length("candidate"))
+    harmless = candidate.rlike("^[0-9]+$") & ~assigned | words
+    harmless = harmless | F.col("before").rlike(HARMLESS_WORDS + r"[\"']?\s*[=: ]\s*[\"']?$")
     label = F.when(secret, 1).when(harmless, 0)
     return ready.withColumn("label", label).filter(F.col("label").isNotNull() & (crc_bucket(F.col("key"), 5) != 0))
 
