@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wherewords.llm import decontaminate, exact_dedup, jaccard_join, language_model, line_dedup, packing, secret_scan, token_files, toxicity, url_filter
+from wherewords.llm import decontaminate, exact_dedup, hard_negatives, jaccard_join, language_model, line_dedup, packing, secret_scan, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op5_url_filter": url_filter.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
