@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wherewords.llm import decontaminate, exact_dedup, hard_negatives, jaccard_join, language_model, line_dedup, packing, secret_scan, token_files, toxicity, url_filter
+from wherewords.llm import decontaminate, exact_dedup, hard_negatives, jaccard_join, language_model, line_dedup, lsh_forest, packing, secret_scan, spelling, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_lsh_forest": lsh_forest.op13_lsh_forest,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
