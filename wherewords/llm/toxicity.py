@@ -1,11 +1,15 @@
 """Toxic documents by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window
-of a document that compresses better under the toxic one speaks for toxicity. Both hold
-the same common text, so that ordinary windows come out alike, and each adds what sets its
-class apart: words with letter sequences far more frequent in documents of that class.
-A document's window differences are summed up in a few figures; thresholds and weights of
-those are calibrated on labelled documents that the dictionaries have not seen.
+Two zstandard dictionaries: one trained on ordinary text, and the same with what sets toxic
+text apart, the words that toxic texts hold far more often. A document is read in short
+overlapping windows; one that compresses better under the toxic dictionary speaks for
+toxicity. A document's window differences are summed up in a few figures; thresholds and
+weights of those are calibrated on labelled documents that the dictionaries have not seen.
+
+Three things make short windows comparable to the byte: words lie at the end of the
+dictionary, where references to them are short; every window ends with the same few bytes,
+which both dictionaries end with, as the compressor looks for no match in the last eight
+bytes; and by them every window is worth compressing, so that none is stored as it is.
 """
 
 from __future__ import annotations
@@ -25,17 +29,29 @@ from wherewords.llm.tables import crc_bucket, small_batches, table, texts_of
 
 #: Labelled documents per class that are fitted on at most, and the longest of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
+#: Pieces of text that the common dictionary is trained on.
 WINDOW_BYTES = 64
-COMMON_BYTES, OWN_BYTES = 12_000, 2_000
-#: Letter sequences that set a class apart: their length, in what share of its documents
-#: at least, and how many times as often as in the other class.
-GRAM_BYTES, GRAM_SHARE, GRAM_RATIO = 5, 0.01, 8.0
+#: Windows that are scored, and how far apart they begin.
+SCORED_BYTES, STRIDE = 16, 8
+#: Windows that are compressed at once.
+AT_ONCE = 1 << 16
+COMMON_BYTES, OWN_BYTES = 60_000, 6_000
+#: Words that set a class apart: in how many of its documents, and how many times as often as
+#: in the other class; their length.
+WORD_DOCS, WORD_RATIO, WORD_LETTERS = 4, 12.0, range(3, 31)
+#: Parts of the labelled texts, each calibrating what the others train.
+FOLDS = 3
 #: Tables that a trained dictionary begins with; its content is used without them.
 HEADER_BYTES = 300
+#: End of both dictionaries and of every window; no byte of it begins a letter.
+STUB = bytes(range(0x80, 0x90))
+#: Gains in bytes that windows are counted from.
+GAINS = (1, 2, 3, 4, 5, 6)
+FIGURES = len(GAINS) + 5
 
 MATCHING = {
-    "strategy": zstd.STRATEGY_LAZY2, "hash_log": 13, "chain_log": 13, "window_log": 15,
-    "min_match": 4, "search_log": 5, "target_length": 16,
+    "strategy": zstd.STRATEGY_DFAST, "hash_log": 15, "chain_log": 15, "window_log": 18,
+    "min_match": 3, "search_log": 5, "target_length": 32,
 }
 
 
@@ -52,6 +68,26 @@ def windows_of(text: str) -> Iterator[bytes]:
         at = to
 
 
+def scored_windows(text: str) -> Iterator[zstd.BufferWithSegments]:
+    """The windows of a text with the stub behind each; the last is filled up with blanks."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(raw):
+        return
+    n = max(0, -(-(len(raw) - SCORED_BYTES) // STRIDE)) + 1
+    filled = np.full((n - 1) * STRIDE + SCORED_BYTES, 32, np.uint8)
+    filled[: len(raw)] = raw
+    windows = np.lib.stride_tricks.sliding_window_view(filled, SCORED_BYTES)[::STRIDE]
+    width = SCORED_BYTES + len(STUB)
+    for begin in range(0, n, AT_ONCE):
+        part = windows[begin : begin + AT_ONCE]
+        ended = np.empty((len(part), width), np.uint8)
+        ended[:, :SCORED_BYTES] = part
+        ended[:, SCORED_BYTES:] = np.frombuffer(STUB, np.uint8)
+        places = np.full((len(part), 2), width, np.uint64)
+        places[:, 0] = np.arange(len(part)) * width
+        yield zstd.BufferWithSegments(ended.tobytes(), places.tobytes())
+
+
 @dataclass
 class Model:
     """Dictionaries, and the weights of a document's figures. Pickled to the workers."""
@@ -76,30 +112,40 @@ class Model:
             settings = zstd.ZstdCompressionParameters(write_content_size=False, **MATCHING)
             self._pair = []
             for content in (self.ordinary, self.toxic):
-                words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                words = zstd.ZstdCompressionDict(content + STUB, dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 words.precompute_compress(compression_params=settings)
                 self._pair.append(zstd.ZstdCompressor(dict_data=words, compression_params=settings))
         return self._pair
 
+    def gains(self, text: str) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window."""
+        ordinary, toxic = self._compressors()
+        parts = [np.zeros(0, np.int16)]
+        for windows in scored_windows(text):
+            lengths = [
+                np.fromiter(map(len, c.multi_compress_to_buffer(windows)), np.int16, len(windows)) for c in (ordinary, toxic)
+            ]
+            parts.append(lengths[0] - lengths[1])
+        return np.concatenate(parts)
+
     def figures(self, text: str) -> list[float]:
         """What a text's window differences come to; all zero for an empty text."""
-        ordinary, toxic = (c.compress for c in self._compressors())
-        gains = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in windows_of(text)), np.int16)
+        gains = self.gains(text)
         if not len(gains):
-            return [0.0] * 6
+            return [0.0] * FIGURES
         top = np.sort(np.partition(gains, -3)[-3:] if len(gains) > 3 else gains)[::-1].astype(float)
         return [
-            float(np.clip(gains.mean(), -3, 3)), float(top[0]), float(top.sum() / 3),
-            float(np.log1p((gains >= 3).sum())), float((gains >= 3).mean()), float(np.log1p(len(gains))),
+            float(np.clip(gains.mean(), -3, 3)), float(top[0]), float(top.mean()), float(np.log1p(len(gains))),
+            float((gains >= 4).mean()), *(float(np.log1p((gains >= least).sum())) for least in GAINS),
         ]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        found = np.array([self.figures(text) for text in texts]).reshape(-1, 6)
+        found = np.array([self.figures(text) for text in texts]).reshape(-1, FIGURES)
         return 1 / (1 + np.exp(-np.clip(found @ np.array(self.weights) + self.bias, -30, 30)))
 
 
 #: Without labelled documents of both classes nothing is known: all scores are near zero.
-UNKNOWN = Model(b" ordinary", b" toxic", [0.0] * 6, -30.0)
+UNKNOWN = Model(b" ordinary", b" toxic", [0.0] * FIGURES, -30.0)
 
 
 def without_copies(texts: list[str]) -> list[str]:
@@ -117,47 +163,39 @@ def without_copies(texts: list[str]) -> list[str]:
     return kept
 
 
-def _grams(word: str) -> frozenset[bytes]:
-    raw = b" " + word.encode("utf-8", "surrogatepass")
-    return frozenset(raw[i : i + GRAM_BYTES] for i in range(max(1, len(raw) - GRAM_BYTES + 1)))
-
-
-def _gram_docs(texts: list[str], known: dict[str, frozenset[bytes]]) -> Counter:
-    counts: Counter = Counter()
-    for text in texts:
-        own: set[bytes] = set()
-        for word in set(text.lower().split()):
-            if word not in known:
-                known[word] = _grams(word)
-            own |= known[word]
-        counts.update(own)
-    return counts
+def _word_docs(texts: list[str]) -> Counter:
+    return Counter(word for text in texts for word in set(text.lower().split()))
 
 
-def _apart(texts: list[str], counts: Counter, others: Counter, ratio: float, known: dict) -> list[bytes]:
-    """Of each text the words that hold a sequence typical of its class."""
-    least = max(3.0, GRAM_SHARE * len(texts))
-    typical = {g for g, n in counts.items() if n >= least and n >= ratio * GRAM_RATIO * (others[g] + 1)}
-    found = ([w for w in text.lower().split() if not typical.isdisjoint(known[w])] for text in texts)
-    return [b"".join(b" " + w.encode("utf-8", "surrogatepass") + b" " for w in words) for words in found if words]
+def _apart(texts: list[str], others: list[str]) -> bytes:
+    """The words that set a class apart, up to :data:`OWN_BYTES`, the most telling ones last."""
+    own, other = _word_docs(texts), _word_docs(others)
+    odds = {}
+    for word, n in own.items():
+        times = (n / len(texts)) / ((other[word] + 0.2) / len(others))
+        if n >= WORD_DOCS and times > WORD_RATIO and len(word) in WORD_LETTERS:
+            odds[word] = (n / len(texts)) / ((other[word] + 1) / len(others)) * min(1.0, n / 5)
+    content, size = [], 0
+    for word in sorted(odds, key=lambda w: (-odds[w], w)):
+        raw = b" " + word.encode("utf-8", "surrogatepass") + b" "
+        size += len(raw)
+        if size > OWN_BYTES:
+            break
+        content.append(raw)
+    return b"".join(reversed(content))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """Content of a trained dictionary; of few samples, the samples themselves."""
     try:
-        return zstd.train_dictionary(size + HEADER_BYTES, samples, k=24, d=6).as_bytes()[HEADER_BYTES:]
+        return zstd.train_dictionary(size + HEADER_BYTES, samples, k=32, d=8).as_bytes()[HEADER_BYTES:]
     except zstd.ZstdError:
         return b"".join(samples)[-size:]
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    known: dict[str, frozenset[bytes]] = {}
-    toxic_docs, ordinary_docs = _gram_docs(toxic, known), _gram_docs(ordinary, known)
-    ratio = len(toxic) / len(ordinary)
-    common = _dictionary([w for text in ordinary + toxic for w in windows_of(text)][::4], COMMON_BYTES)
-    own_toxic = _dictionary(_apart(toxic, toxic_docs, ordinary_docs, ratio, known), OWN_BYTES)
-    own_ordinary = _dictionary(_apart(ordinary, ordinary_docs, toxic_docs, 1 / ratio, known), OWN_BYTES)
-    return own_ordinary + common, own_toxic + common
+    common = _dictionary([w for text in ordinary for w in windows_of(text)], COMMON_BYTES)
+    return common + _apart(ordinary, toxic), common + _apart(toxic, ordinary)
 
 
 def calibrate(figures: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[list[float], float]:
@@ -184,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model out of the labelled rows of ``docs``.
 
     Per class the :data:`SAMPLE_ROWS` rows with the smallest hash of the key that have at
-    most :data:`SAMPLE_CHARS` code points; every third of them calibrates. Null labels and
+    most :data:`SAMPLE_CHARS` code points; each calibrates what others train. Null labels and
     texts do not count; of several labels of a key the largest does. Without rows of both
     classes: :data:`UNKNOWN`.
     """
@@ -206,14 +244,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         samples[mark] = without_copies([r["text"] for r in rows])
     if not all(samples.values()):
         return UNKNOWN
-    learn = {m: [t for i, t in enumerate(s) if i % 3 or len(s) < 6] for m, s in samples.items()}
-    held = {m: [t for i, t in enumerate(s) if i % 3 == 0] for m, s in samples.items()}
-    ordinary, toxic = train_dictionaries(learn[1], learn[0])
-    model = Model(ordinary, toxic, [0.0] * 6, 0.0)
-    figures = np.array([model.figures(t) for m in (0, 1) for t in held[m]])
-    marks_of = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
+    # Figures of texts that the dictionaries have not seen: each fold's from the others' texts.
+    folds = FOLDS if min(map(len, samples.values())) >= FOLDS else 1
+    found, marks_of = [], []
+    for fold in range(folds):
+        learn = {m: [t for i, t in enumerate(s) if folds == 1 or i % folds != fold] for m, s in samples.items()}
+        part = Model(*train_dictionaries(learn[1], learn[0]), [0.0] * FIGURES, 0.0)
+        for mark in (0, 1):
+            held = samples[mark][fold::folds]
+            found += [part.figures(t) for t in held]
+            marks_of += [float(mark)] * len(held)
+    figures, marks_of = np.array(found), np.array(marks_of)
+    model = Model(*train_dictionaries(samples[1], samples[0]), [0.0] * FIGURES, 0.0)
     # Each class counts as it does among all labels.
-    weight = np.repeat([totals[m] / len(held[m]) for m in (0, 1)], [len(held[0]), len(held[1])])
+    weight = np.where(marks_of == 1, totals[1] / len(samples[1]), totals[0] / len(samples[0]))
     model.weights, model.bias = calibrate(figures, marks_of, weight / weight.mean())
     return model
 
