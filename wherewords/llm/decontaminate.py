@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import steady_places, table, without_rows
+from wherewords.llm.tables import few, steady_places, table, without_rows
 from wherewords.session import stage
 
 WINDOW_WORDS, SHINGLE_WORDS = 13, 3
@@ -20,8 +20,6 @@ WINDOW_WORDS, SHINGLE_WORDS = 13, 3
 BLOCK_WINDOWS = 50_000
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same words before A-Z are put into lower case.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,38 +65,46 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
 
 
 def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(row, words, pos, shingle) of every position, inside the stage that splits the text."""
-    at = docs.select("row", "words", F.posexplode("words").alias("pos", "word"))
-    hashes = [_shingle(F.col("words"), F.col("pos"), n) for n in sizes]
-    if len(hashes) == 1:
-        return at.select("row", "words", "pos", hashes[0].alias("shingle"))
-    return at.select("row", "words", "pos", F.explode(F.array(*hashes)).alias("shingle"))
+    """(row, words, pos, size, shingle) of every position, inside the stage that splits the text.
+    A row without words has one line, with nulls."""
+    # Outer: from a plain one the optimizer infers a filter on the words, and splits twice.
+    at = docs.select("row", words_of(F.col("text")).alias("words")).select("row", "words", F.posexplode_outer("words").alias("pos", "word"))
+    hashes = [F.struct(F.lit(n).alias("size"), _shingle(F.col("words"), F.col("pos"), n).alias("shingle")) for n in sizes]
+    return at.select("row", "words", "pos", F.explode(F.array(*hashes)).alias("at")).select("row", "words", "pos", "at.*")
 
 
 def passages(
     docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text"
-) -> DataFrame:
-    """(row, start, length, items): each occurrence of a window in a document.
+) -> tuple[DataFrame, DataFrame]:
+    """(row, start, length, items), each occurrence of a window in a document; and (row,
+    n_words), the words of each document.
 
-    ``docs`` has (row, words). Windows are few and go to all tasks in blocks of
-    :data:`BLOCK_WINDOWS`, so that no text is shuffled.
+    ``docs`` has (row, text). Windows are few and go to all tasks in blocks of
+    :data:`BLOCK_WINDOWS`, so that no text is shuffled. Texts are split once for each block,
+    and those with a window's rarest shingle at a place that fits once more.
     """
     windows = stage(item_windows(benchmark, item, text), "windows")
     shingles = stage(_window_shingles(windows), "window-shingles")
     shape = windows.agg(
         F.count("*").alias("n"), F.sort_array(F.collect_set(F.least(F.size("words"), F.lit(SHINGLE_WORDS)))).alias("sizes")
     ).first()
-    here = _document_shingles(docs, shape["sizes"] or [SHINGLE_WORDS])
+    sizes = shape["sizes"] or [SHINGLE_WORDS]
     blocks = max(1, -(-shape["n"] // BLOCK_WINDOWS))
     block = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    found = None
+    found = lengths = None
     for number in range(blocks):
         mine = shingles.filter(block == number)
-        counts = (
-            here.join(F.broadcast(mine.select("shingle").distinct()), "shingle").groupBy("shingle").agg(F.count("*").alias("often"))
+        known = F.broadcast(mine.select("shingle").distinct().withColumn("known", F.lit(True)))
+        begins = (F.coalesce("pos", F.lit(0)) == 0) & (F.col("size") == sizes[0])
+        met = stage(
+            _document_shingles(docs, sizes).join(known, "shingle", "left").filter(F.col("known") | begins)
+            .select("row", F.size("words").alias("n_words"), "pos", begins.alias("begins"), F.when(F.col("known"), F.col("shingle")).alias("shingle")),
+            "met-shingles",
         )
+        lengths = met.filter("begins").select("row", F.col("n_words").cast("bigint")) if lengths is None else lengths
+        met = met.filter("shingle is not null")
         prefix = (
-            mine.join(counts, "shingle", "left")
+            mine.join(met.groupBy("shingle").agg(F.count("*").alias("often")), "shingle", "left")
             .groupBy("window")
             .agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "shingle", "at")).alias("first"))
             # A shingle that no document has: its window is nowhere.
@@ -112,6 +118,12 @@ def passages(
             "window-prefixes",
         )
         start = F.col("pos") - F.col("at")
+        inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+        rows = stage(
+            met.join(F.broadcast(wanted.select("shingle", "at", "length")), "shingle").filter(inside).select("row").distinct(),
+            "promising-rows",
+        )
+        here = _document_shingles(docs.join(few(rows), "row", "left_semi"), sizes)
         fits = (
             (here["shingle"] == wanted["shingle"])
             & (start >= 0)
@@ -120,7 +132,7 @@ def passages(
         )
         hits = here.join(F.broadcast(wanted), fits).select("row", start.alias("start"), "length", "items")
         found = hits if found is None else found.unionAll(hits)
-    return found
+    return found, lengths
 
 
 def contamination(
@@ -149,10 +161,9 @@ def without_contaminated(
 def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> DataFrame:
     """:func:`contamination` with the place of each row."""
     steady_places(docs.sparkSession)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.col(text)).alias("words")
-    )
-    hits = stage(passages(rows.select("row", "words"), benchmark, item, text), "passages")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    hits, words = passages(rows.select("row", "text"), benchmark, item, text)
+    hits = stage(hits, "passages")
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     # Words that no earlier window of the row has covered.
@@ -162,10 +173,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     named = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.collect_set("item").alias("found"))
     judged = covered.join(named, "row", "left")
     found = F.coalesce(F.sort_array("found"), F.array().cast("array<string>"))
-    lengths = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE)).cast("bigint").alias("n_words"),
-    )
+    lengths = rows.select("row", "key").join(words, "row")
     hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return lengths.join(judged, "row", "left").select(
         "row", F.col("key").alias(key), "n_words", hit.alias("n_hit"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import WordBatch, _power, free_name, list_array, mix, pieces, small_batches, steady_places, texts_of, word_spans
+from wherewords.llm.tables import WordBatch, _power, changed_rows, few, free_name, list_array, mix, pieces, small_batches, steady_places, texts_of, word_spans
 from wherewords.session import stage
 
 #: A passage of over 50 words has a run of 51.
@@ -110,12 +110,6 @@ def without_words(text: str, at: list[int]) -> str:
     return b"".join([*left, raw[begin:]]).decode("utf-8", "surrogatepass")
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [without_words(t, at) for t, at in zip(texts_of(batch, "text"), batch.column("at").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, at): first words, from 0, of the runs that a row loses; rows with any.
 
@@ -132,8 +126,10 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     shared = stage(each.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "shared-marks")
     own = stage(each.join(shared, "mark").groupBy("row").agg(F.collect_list("mark").alias("marks")), "marks-of-rows")
     kind = docs.schema[key].dataType.simpleString()
+    # Texts stay where they are, but for those with a shared mark.
+    promising = rows.join(few(own.select("row")), "row", "left_semi")
     found = stage(
-        rows.join(own, "row").mapInArrow(marked_runs, f"row bigint, key {kind}, at int, run bigint"), "marked-runs"
+        promising.join(own, "row").mapInArrow(marked_runs, f"row bigint, key {kind}, at int, run bigint"), "marked-runs"
     )
     rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
     firsts = stage(
@@ -150,14 +146,17 @@ def without_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     Rows of which no word is left are dropped; untouched rows stay as they are.
     """
-    lost = stage(repeated_runs(docs, key, text), "lost-runs")
-    row, new = free_name(docs, "row"), free_name(docs, "new_text")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    texts = numbered.select(F.col(row).alias("row"), F.col(text).alias("text")).join(lost, "row")
-    left = stage(texts.mapInArrow(cut, "row bigint, text string"), "cut-texts")
-    return (
-        numbered.join(left.select(F.col("row").alias(row), F.col("text").alias(new)), row, "left")
-        .filter(F.col(new).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
-        .withColumn(text, F.coalesce(new, text))
-        .select(*docs.columns)
-    )
+    at = free_name(docs, "at")
+    lost = stage(repeated_runs(docs, key, text).withColumnRenamed("at", at), "lost-runs")
+
+    def change(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [without_words(t, a) for t, a in zip(texts_of(batch, text), batch.column(at).to_pylist(), strict=True)]
+                yield batch.set_column(names.index(text), text, pa.array(texts, pa.string()))
+
+        return rows.mapInArrow(cut, rows.schema).filter(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+
+    return changed_rows(docs, lost, change)

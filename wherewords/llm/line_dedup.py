@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.llm.tables import free_name, steady_places, table
+from wherewords.llm.tables import changed_rows, free_name, steady_places, table
 from wherewords.session import stage
 
 LEADING, FIELDS = 3, 3
@@ -111,18 +111,14 @@ def without_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     Rows of which no line is left are dropped; untouched rows stay as they are.
     """
-    row, dropped = free_name(docs, "row"), free_name(docs, "dropped")
-    lost = recurring_lines(docs, key, text).select(F.col("row").alias(row), F.col("dropped").alias(dropped))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    lines = F.split(F.col(text), "\n")
-    left = F.filter(lines, lambda line, at: ~F.array_contains(dropped, at))
-    touched = F.col(dropped).isNotNull()
-    return (
-        numbered.join(lost, row, "left")
-        .withColumn(text, F.when(touched, F.array_join(left, "\n")).otherwise(F.col(text)))
-        .filter(~touched | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-        .select(*docs.columns)
-    )
+    dropped = free_name(docs, "dropped")
+    lost = stage(recurring_lines(docs, key, text).withColumnRenamed("dropped", dropped), "lost-lines")
+    left = F.filter(F.split(F.col(text), "\n"), lambda line, at: ~F.array_contains(dropped, at))
+
+    def change(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(text, F.array_join(left, "\n")).filter(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+
+    return changed_rows(docs, lost, change)
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -6,7 +6,10 @@ share. How deep a prefix has to be for two texts to be candidates is a matter of
 
 * texts that share a short prefix with few others are compared with all of those;
 * where many share it, the region is cut at the next value, and so on, until few are left;
-* wherever a text ends up, its next neighbours in the order are candidates as well.
+* wherever a text ends up, its next neighbours in the order are candidates as well;
+* when the links so far have joined texts to components, regions that were cut are looked at
+  once more from the top: now only pairs across components count, and a region whose texts
+  are mostly one component has few of those, however many texts it holds.
 
 Orders are sorted by ranges, so that a region of any size is many tasks; what lies on both
 sides of a cut between tasks is looked at once more. Candidates pass a sketch of 128 bits, and
@@ -14,8 +17,9 @@ are confirmed on their whole sets: first the best one of each text, then what wo
 components that are still apart.
 
 Two texts of similarity ``s`` are missed with a chance of ``(1 - s**d) ** ORDERS``, where ``d`` is
-the depth of their region: at 0.85 that is 4e-7 for 4 values, 2e-3 for 8. Equal sets are one
-node from the start, so that exact copies make no region dense.
+the depth of their region: at 0.85 that is 4e-7 for 4 values, 2e-3 for 8, the latter only where
+many texts share 7 values and are still of many components. Equal sets are one node from the
+start, so that exact copies make no region dense.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wherewords.llm.components import merged
 from wherewords.llm.jaccard_join import shingle_sets
-from wherewords.llm.tables import list_array, mix, pieces, small_batches, steady_places, table, texts_of
+from wherewords.llm.tables import few, list_array, mix, pieces, small_batches, steady_places, table, texts_of
 from wherewords.session import stage
 
 #: The contract of op13_lsh_forest; defaults are five words and 80 %.
@@ -39,16 +43,18 @@ ORDERS, STEP, DEPTH = 20, 8, 16
 VALUES = ORDERS * STEP
 #: Least depth of candidates, and most texts of a region that are all compared.
 LEAST_DEPTH, REGION = 4, 16
+#: Pairs across components for each text of a region, up to which all of those are candidates.
+ACROSS = 256
 #: Neighbours in the order, on either side, that are candidates at any density.
 NEIGHBOURS = 2
 SKETCH_BITS = 128
 #: Standard deviations below the expected agreement of sketches that still pass.
 SLACK = 4.5
 #: Sorted rows of a task.
-TASK_ROWS = 400_000
-#: Up to so many pairs of numbers are broadcast to pick sets (16 MB).
-BROADCAST_ROWS = 1_000_000
+TASK_ROWS = 200_000
 SET_ROWS = 200
+#: Tasks that share the rows of a component.
+SALTS = 16
 
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = (_SEEDS[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[VALUES:] >> np.uint64(32)).astype(np.uint32)
@@ -122,11 +128,14 @@ class Sorted:
         """A region of each row, and the first row of those that stay too large at any depth."""
         n = len(self.node)
         region, open_, pivot = np.full(n, -1, np.int64), np.ones(n, bool), np.arange(n)
+        self.cut = np.zeros(n, bool)
         for depth in range(LEAST_DEPTH, DEPTH + 1):
             run = np.cumsum(self.shared < depth) - 1
             small = open_ & (np.bincount(run, minlength=1)[run] <= REGION)
             region[small] = run[small] + depth * (n + 1)
             open_ &= ~small
+            #: Rows of regions that were cut.
+            self.cut |= open_
             if not open_.any():
                 return region, pivot
         first = np.flatnonzero(self.shared < DEPTH)[run]
@@ -147,11 +156,41 @@ class Sorted:
                 near |= between
             found.append((left[near], right[near]))
         i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+        a, b, _ = self.alike(i, j, percent)
+        return a, b
+
+    def alike(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of the pairs of rows that pass by size and sketch, and the sketches' agreement."""
         fit = 100 * np.minimum(self.n[i], self.n[j]) >= percent * np.maximum(self.n[i], self.n[j])
         i, j = i[fit], j[fit]
-        alike = SKETCH_BITS - np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64)
-        i, j = i[alike >= _least_agreement(percent)], j[alike >= _least_agreement(percent)]
-        return np.minimum(self.node[i], self.node[j]), np.maximum(self.node[i], self.node[j])
+        bits = SKETCH_BITS - np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64)
+        near = bits >= _least_agreement(percent)
+        i, j = i[near], j[near]
+        return np.minimum(self.node[i], self.node[j]), np.maximum(self.node[i], self.node[j]), bits[near]
+
+    def across(self, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of rows of two components, in regions as wide as :data:`ACROSS` allows."""
+        comp = self.rows["comp"].to_numpy()
+        open_, found = np.ones(len(comp), bool), []
+        for depth in range(LEAST_DEPTH, DEPTH + 1):
+            run = np.cumsum(self.shared < depth) - 1
+            size = np.bincount(run)
+            _, first, each = np.unique(np.stack([run, comp]), axis=1, return_index=True, return_counts=True)
+            crossing = (size**2 - np.bincount(run[first], each.astype(float) ** 2)) / 2
+            closed = open_ & (crossing <= ACROSS * size)[run]
+            begins = np.append(np.flatnonzero(self.shared < depth), len(comp))
+            for k in np.unique(run[closed & (crossing > 0)[run]]):
+                own = np.arange(begins[k], begins[k + 1])
+                names, place, counts = np.unique(comp[own], return_inverse=True, return_counts=True)
+                main = place == counts.argmax()
+                # Each row outside the largest component with all rows of the others after it, or in that.
+                outside = np.flatnonzero(~main)
+                left, right = np.nonzero((place[outside][:, None] != place) & (main | (np.arange(len(own)) > outside[:, None])))
+                found.append(self.alike(own[outside[left]], own[right], percent))
+            open_ &= ~closed
+            if not open_.any():
+                break
+        return found
 
     def ends(self) -> pa.Table:
         """The first and last rows that may have partners in the tasks before and after."""
@@ -164,28 +203,41 @@ class Sorted:
 
 ROW = "order int, prefix binary, node bigint, n bigint, sketch binary"
 _ROW_SCHEMA = pa.schema([("order", pa.int32()), ("prefix", pa.binary()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+#: What a line of the walk is.
+PAIR, END, CUT = 0, 1, 2
 
 
-def _pairs_of(rows: pa.Table, percent: int) -> pa.Table:
-    a, b = Sorted(rows).candidates(percent)
-    return pa.table({"a": a, "b": b})
+def _lines(kind: int, a: pa.Array, b: pa.Array, rows: pa.Table | None) -> pa.RecordBatch:
+    n = len(a)
+    columns = [c.combine_chunks() for c in rows.columns] if rows else [pa.nulls(n, f.type) for f in _ROW_SCHEMA]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), a, b, *columns], ["kind", "a", "b", *_ROW_SCHEMA.names])
 
 
 def _walked(percent: int):
-    """Candidates (a, b) of a task's rows, then its ends as rows of their own."""
+    """Candidates (a, b) of a task's rows, then its ends and its rows of cut regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [batch for batch in batches if batch.num_rows]
         if not parts:
             return
-        rows = pa.Table.from_batches(parts)
-        pairs = _pairs_of(rows, percent)
-        empty = [pa.nulls(pairs.num_rows, f.type) for f in _ROW_SCHEMA]
-        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in pairs.columns), *empty], ["a", "b", *_ROW_SCHEMA.names])
-        ends = Sorted(rows).ends().combine_chunks()
-        none = pa.nulls(ends.num_rows, pa.int64())
-        columns = [c.combine_chunks() for c in ends.columns]
-        yield pa.RecordBatch.from_arrays([none, none, *columns], ["a", "b", *_ROW_SCHEMA.names])
+        rows = Sorted(pa.Table.from_batches(parts).select(_ROW_SCHEMA.names))
+        a, b = rows.candidates(percent)
+        yield _lines(PAIR, pa.array(a), pa.array(b), None)
+        for kind, own in ((END, rows.ends()), (CUT, rows.rows.filter(pa.array(rows.cut)))):
+            none = pa.nulls(own.num_rows, pa.int64())
+            yield _lines(kind, none, none, own)
+
+    return run
+
+
+def _crossed(percent: int):
+    """(a, b, hits) of the pairs across components, ``hits`` being the sketches' agreement."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if parts:
+            for a, b, bits in Sorted(pa.Table.from_batches(parts)).across(percent):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], ["a", "b", "hits"])
 
     return run
 
@@ -203,11 +255,6 @@ def _sets_of(words: int):
     return run
 
 
-def _few(numbers: DataFrame) -> DataFrame:
-    """A staged table of a few numbers, broadcast if it is small."""
-    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
-
-
 def _orders(nodes: DataFrame) -> DataFrame:
     """Each node's row in each order."""
     twice = nodes.select("node", "n", "sketch", F.concat("values", "values").alias("twice"))
@@ -216,29 +263,43 @@ def _orders(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, hits): pairs of nodes, and in how many orders they met."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n * ORDERS // TASK_ROWS))
+def _in_order(rows: DataFrame, n: int) -> DataFrame:
+    """The rows sorted by ranges, some hundred thousand a task."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
     place = ["order", "prefix", "node"]
-    rows = _orders(nodes).repartitionByRange(tasks, *place).sortWithinPartitions(*place)
-    walked = stage(rows.mapInArrow(_walked(percent), f"a bigint, b bigint, {ROW}"), "walked")
+    return rows.repartitionByRange(tasks, *place).sortWithinPartitions(*place)
+
+
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, hits): pairs of nodes, and in how many orders they met; and the rows of the
+    orders whose regions were cut."""
+    rows = _in_order(_orders(nodes), nodes.count() * ORDERS)
+    walked = stage(rows.mapInArrow(_walked(percent), f"kind int, a bigint, b bigint, {ROW}"), "walked")
 
     def over_cuts(group: pa.Table) -> pa.Table:
-        return _pairs_of(group.select(_ROW_SCHEMA.names).sort_by([("prefix", "ascending"), ("node", "ascending")]), percent)
+        own = group.select(_ROW_SCHEMA.names).sort_by([("prefix", "ascending"), ("node", "ascending")])
+        a, b = Sorted(own).candidates(percent)
+        return pa.table({"a": a, "b": b})
 
-    ends = walked.filter("a is null").withColumn("region", F.substring("prefix", 1, 2 * LEAST_DEPTH)).drop("a", "b")
+    ends = walked.filter(F.col("kind") == END).select(*_ROW_SCHEMA.names, F.substring("prefix", 1, 2 * LEAST_DEPTH).alias("region"))
     # At most 2 * REGION rows of each task, so few of even a hot region.
     seams = ends.groupBy("order", "region").applyInArrow(over_cuts, "a bigint, b bigint")
-    met = walked.filter("a is not null").select("a", "b").unionAll(seams)
-    return stage(met.groupBy("a", "b").agg(F.count("*").alias("hits")), "candidates")
+    met = walked.filter(F.col("kind") == PAIR).select("a", "b").unionAll(seams)
+    pairs = stage(met.groupBy("a", "b").agg(F.count("*").alias("hits")), "candidates")
+    return pairs, walked.filter(F.col("kind") == CUT).select(*_ROW_SCHEMA.names)
+
+
+def _crossing(cut: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, hits): candidates across components from the regions that were cut."""
+    own = cut.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    crossed = _in_order(own, cut.count()).mapInArrow(_crossed(percent), "a bigint, b bigint, hits bigint")
+    return stage(crossed.groupBy("a", "b").agg(F.max("hits").alias("hits")), "crossing")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = stage(pairs.select("a", "b"), "pairs")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).join(_few(pairs), "a")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).join(few(pairs), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     same = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - same
@@ -259,23 +320,31 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").filter("comp_a <> comp_b").select("a", "b", "hits")
 
 
-def _components(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, comp) of all nodes that have candidates."""
+def _joined(rows: DataFrame, pairs: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+    """``labels`` (node, comp) with what the pairs (a, b, hits) join when confirmed; nodes that
+    are new are added."""
     nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
     sets = stage(
-        rows.select(F.col("row").alias("node"), "text").join(_few(nodes), "node").mapInArrow(
+        rows.select(F.col("row").alias("node"), "text").join(few(nodes), "node", "left_semi").mapInArrow(
             _sets_of(words), "node bigint, shingles array<bigint>"
         ),
         "sets",
     )
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    first = stage(_best(pairs), "best")
-    labels = merged(labels, stage(_confirmed(first, sets, percent), "links"))
-    pairs = stage(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "apart")
-    second = stage(_best(pairs), "best")
-    labels = merged(labels, stage(_confirmed(second, sets, percent), "links"))
-    rest = _apart(pairs.join(second, ["a", "b"], "left_anti"), labels)
-    return merged(labels, stage(_confirmed(rest, sets, percent), "links"))
+    new = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    labels = stage(labels.unionAll(new), "labels")
+    for _ in range(2):
+        first = stage(_best(pairs), "best")
+        labels = merged(labels, stage(_confirmed(first, sets, percent), "links"))
+        pairs = stage(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "apart")
+    return merged(labels, stage(_confirmed(pairs, sets, percent), "links"))
+
+
+def _components(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, comp) of all nodes that have candidates."""
+    pairs, cut = _candidates(nodes, percent)
+    none = pairs.limit(0).select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    labels = _joined(rows, pairs, none, words, percent)
+    return _joined(rows, _crossing(cut, labels, percent), labels, words, percent)
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -301,14 +370,20 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     )
     same = ["n", "sum", "xor"]
     heads = stage(signed.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node")), "heads")
-    nodes = signed.select(F.col("row").alias("node"), "n", "values", "sketch").join(_few(heads.select("node")), "node", "left_semi")
-    labels = _components(rows, _candidates(stage(nodes, "nodes"), percent), words, percent)
+    nodes = signed.select(F.col("row").alias("node"), "n", "values", "sketch").join(few(heads.select("node")), "node", "left_semi")
+    labels = _components(rows, stage(nodes, "nodes"), words, percent)
     placed = heads.join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
     members = stage(signed.select("row", "key", *same).join(placed, same, "left").select("row", "key", "n", "comp"), "members")
-    names = members.filter("comp is not null").groupBy("comp").agg(F.min("key").alias("name"), F.min("row").alias("first"))
+    # Only components of several rows have a name to look up; salted, as one may hold most rows.
+    names = (
+        members.filter("comp is not null").groupBy("comp")
+        .agg(F.min("key").alias("name"), F.min("row").alias("first"), F.count("*").alias("size")).filter("size > 1")
+        .select("comp", "name", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    members = members.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     first: Column = F.coalesce(F.col("row") == F.col("first"), F.lit(True))
     component = F.coalesce("name", "key")
-    return members.join(names, "comp", "left").select(
+    return members.join(names, ["comp", "salt"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.when(F.col("key").isNotNull(), F.col("key") == component).otherwise(F.col("name").isNull() & first).alias("kept"),
     )

@@ -40,6 +40,34 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: Up to so many rows of one or two numbers are broadcast to pick texts or sets (16 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def few(numbers: DataFrame) -> DataFrame:
+    """A staged table of one or two numbers a row, broadcast if it is small; beyond that size
+    a join with it shuffles both sides."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
+
+
+def changed_rows(docs: DataFrame, changes: DataFrame, change) -> DataFrame:
+    """``docs`` with ``change(rows)`` for the rows that ``changes`` has, and the others as they are.
+
+    ``changes`` is staged and has each ``row``, a row's place in the stored table ``docs``, once.
+    ``change`` gets those rows with the columns of ``docs`` and of ``changes``, of which it may
+    drop some. Only rows that change are shuffled. Column names: ``changes`` must use names
+    that ``docs`` has not, but for ``row``, which becomes free here.
+    """
+    steady_places(docs.sparkSession)
+    place = free_name(docs, "row")
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    changes = changes.withColumnRenamed("row", place)
+    touched = few(changes.select(place))
+    rows = numbered.join(touched, place, "left_semi").join(changes, place)
+    same = numbered.join(touched, place, "left_anti")
+    return same.select(*docs.columns).unionAll(change(rows).select(*docs.columns))
+
+
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for the rows whose place is in ``gone`` (row); all columns stay.
 
