@@ -1,8 +1,8 @@
-"""Documents to training sequences: seven stages, each written as Parquet and read again.
+"""Documents to training sequences: five stages, each written as Parquet and read again.
 
 Every stage takes what its predecessor kept, and its decisions hold: toxic documents go,
-recurring lines go, of near-duplicates one stays, contaminated documents go, of near copies
-one stays, passages that an earlier document holds go, and the rest is packed. All stages but the last return the
+recurring lines and passages that an earlier document holds go, of near copies one stays,
+contaminated documents go, and the rest is packed. All stages but the last return the
 columns of ``documents``.
 """
 
@@ -27,29 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``n_chars`` follows the text; documents of which no line is left go."""
-    return line_dedup.without_recurring_lines(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    """Whole lines first, then runs of over 50 words wherever they lie. ``n_chars`` follows the
+    text; documents of which nothing is left go."""
+    lines = stage(line_dedup.without_recurring_lines(docs), "without-lines")
+    return exact_runs.without_repeated_runs(lines).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_per_component(docs)
+    return jaccard_join.one_per_component(docs, words=COPY_WORDS, percent=COPY_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies with more differences than the contract of op4 lets through."""
-    return jaccard_join.one_per_component(docs, words=COPY_WORDS, percent=COPY_PERCENT)
-
-
-def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """After the stages that drop whole documents: no passage goes for the sake of one that
-    does not stay, and near copies do not leave their differences behind."""
-    return exact_runs.without_repeated_runs(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizer = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(docs, tokenizer, end_id=2)
@@ -60,8 +51,6 @@ STAGES = [
     ("line dedup", drop_recurring_lines),
     ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
-    ("near copies", drop_near_copies),
-    ("exact runs", drop_repeated_runs),
     ("packing", pack),
 ]
 
