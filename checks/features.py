@@ -8,10 +8,12 @@ from checks.base import (
     IS_TEST, MESSAGES, STOPS, TERMS, TWEETS, messages, sql, sql_clean, sql_hashtags, sql_idf,
     sql_tokens, stopwords, table, train_test, tweets,
 )
+from checks.stops import ENGLISH
 from checks.words import country_tf
 from wherewords.functions import scalars, text
 from wherewords.operators import clusters, features, similarity, windows, words
 from wherewords.operators.classify import linear_margins
+from wherewords.plans.textclass import FourierMap, numbered_idf, text_features
 from wherewords.plans.retrieval import retrieve_top_k_tfidf
 from wherewords.session import stage
 
@@ -73,24 +75,25 @@ def tfidf_transform(spark, folder):
 COSINES = (
     *BASE, TRAIN_TF, TEST_TF, sql_idf_table("idf", "train_tf", "doc_key"),
     sql_tfidf("q", "test_tf", "tweet_id", "idf"), sql_tfidf("c", "train_tf", "doc_key", "idf"),
-    "scores AS (SELECT tweet_id, doc_key, round(sum(q.weight * c.weight), 6) AS score FROM q JOIN c USING (term) GROUP BY 1, 2)",
+    "met AS (SELECT tweet_id, doc_key, round(sum(q.weight * c.weight), 6) AS score FROM q JOIN c USING (term) GROUP BY 1, 2)",
+    f"scores AS (SELECT tweet_id, doc_key, coalesce(score, 0) AS score FROM (SELECT tweet_id FROM tweets WHERE {IS_TEST}) CROSS JOIN (SELECT DISTINCT doc_key FROM c) LEFT JOIN met USING (tweet_id, doc_key))",
 )
 
 
 @add("cosine_all", sql("SELECT tweet_id, doc_key, score FROM scores", *COSINES))
 def cosine_all(spark, folder):
     """Every held-out message against every country profile."""
+    return every_cosine(spark, folder, 1 << 30).drop("rank")
+
+
+def every_cosine(spark, folder, k):
     train_tf, test_tf = train_test_tf(spark, folder)
-    idf = stage(features.idf_table(train_tf, "doc_key"), "idf")
-    corpus = stage(features.tfidf(train_tf, idf, "doc_key", short_docs=False), "corpus")
-    scores = similarity.score_pairs(features.tfidf(test_tf, idf, "tweet_id"), corpus, "tweet_id", "doc_key")
-    return scores.withColumn("score", F.round("score", 6))
+    return retrieve_top_k_tfidf(test_tf, train_tf, k, keys=train_test(tweets(spark, folder))[1].select("tweet_id"))
 
 
 @add("top5_cosine", sql("SELECT tweet_id, doc_key, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY score DESC, doc_key) AS r FROM scores) WHERE r <= 5", *COSINES))
 def top5_cosine(spark, folder):
-    train_tf, test_tf = train_test_tf(spark, folder)
-    return retrieve_top_k_tfidf(test_tf, train_tf, 5)
+    return every_cosine(spark, folder, 5)
 
 
 @add("best_candidate", sql("SELECT tweet_id, doc_key, score FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY score DESC, doc_key) AS r FROM scores) WHERE r = 1", *COSINES))
@@ -112,12 +115,11 @@ def hit_at_5(spark, folder):
 # --- three fields with pairs -------------------------------------------------
 
 
-STOP = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "on", "with", "by", "at", "this"]
 
 
 def sql_field(name: str, expr: str) -> str:
     """Message tokens without stop words, and their pairs, of one field."""
-    stop = ", ".join(f"'{w}'" for w in STOP)
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
     token = text.TWEET_TOKEN.replace("'", "''")
     return f"""{name}_chars AS (SELECT tweet_id, string_split(regexp_replace({expr}, '{text.HANDLE}', '\\1 ', 'g'), '') AS chars FROM messages),
     {name}_words AS (SELECT tweet_id, list_filter(regexp_extract_all(lower(array_to_string(list_filter(chars,
@@ -141,21 +143,19 @@ FIELDS = [
     "df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY 1, 2)",
     "n AS (SELECT field, count(DISTINCT tweet_id) AS n FROM tf GROUP BY 1)"))
 def tfidf_fields(spark, folder):
-    grams = features.field_grams(tweets(spark, folder), STOP)
+    grams = features.field_grams(tweets(spark, folder))
     weights = features.tfidf_fields(features.grams_long(grams, "tweet_id"), "tweet_id")
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-@add("count_vectors", sql("SELECT item_id, count(DISTINCT word) AS n_terms, count(*) AS n_words FROM (SELECT item_id, unnest(" + sql_tokens("lower(" + sql_clean("text") + ")") + ") AS word FROM benchmark) GROUP BY 1"))
+@add("count_vectors", sql(
+    "SELECT item_id, CAST(id AS BIGINT) AS id, count(*) AS tf FROM words JOIN ids USING (word) GROUP BY ALL",
+    "words AS (SELECT item_id, unnest(" + sql_tokens("lower(" + sql_clean("text") + ")") + ") AS word FROM benchmark)",
+    "ids AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM words))"))
 def count_vectors(spark, folder):
-    """Vocabulary counts of the estimator, as number of terms and their sum."""
-    from pyspark.ml.functions import vector_to_array
-
+    """Counts under the whole numbered vocabulary."""
     items = table(spark, folder, "benchmark").select("item_id", text.lower_tokens(text.clean_words(F.col("text"))).alias("words"))
-    _, counted = features.count_vectorize(items, "words", "counts")
-    values = F.filter(vector_to_array("counts"), lambda x: x > 0)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x).cast("bigint")
-    return counted.select("item_id", F.size(values).cast("bigint").alias("n_terms"), total.alias("n_words")).filter("n_words > 0")
+    return features.count_vectorize(items, "item_id", "words")[1]
 
 
 @add("meta_features", sql("SELECT tweet_id, user_friends_count, CAST(seconds AS DOUBLE) AS seconds, CAST(user_followers_count AS DOUBLE) AS user_followers_count, CAST(user_lang = 'en' AS INTEGER) + 0.0 AS lang_en FROM messages", TWEETS, MESSAGES).replace("AS INTEGER) + 0.0 AS lang_en", "AS DOUBLE) AS lang_en"))
@@ -236,10 +236,25 @@ def sql_unit(label: str) -> str:
 
 
 @add("random_fourier", sql(
-    f"""SELECT vec_id, CAST(d AS INTEGER) AS d, round(sqrt(2.0 / 20) * cos(sum(x * w) + any_value(b)), 6) AS value FROM dims JOIN w USING (i) JOIN b USING (d) GROUP BY 1, 2""",
+    f"""SELECT vec_id, CAST(d AS INTEGER) AS d, round(sqrt(2.0 / 100) * cos(sum(x * w) + any_value(b)), 6) AS value FROM dims JOIN w USING (i) JOIN b USING (d) GROUP BY 1, 2""",
     DIMS,
-    f"""w AS (SELECT CAST(i AS INTEGER) AS i, d, sqrt(2 * 0.5) * sqrt(-2 * ln({sql_unit("'1:' || i || ':' || d || ':r'")})) * cos(2 * pi() * {sql_unit("'1:' || i || ':' || d || ':a'")}) AS w FROM range(64) a(i), range(20) c(d))""",
-    f"""b AS (SELECT d, 2 * pi() * {sql_unit("'1:' || d || ':b'")} AS b FROM range(20) c(d))"""))
+    f"""w AS (SELECT CAST(i AS INTEGER) AS i, d, sqrt(2 * 0.5) * sqrt(-2 * ln({sql_unit("'1:' || i || ':' || d || ':r'")})) * cos(2 * pi() * {sql_unit("'1:' || i || ':' || d || ':a'")}) AS w FROM range(64) a(i), range(100) c(d))""",
+    f"""b AS (SELECT d, 2 * pi() * {sql_unit("'1:' || d || ':b'")} AS b FROM range(100) c(d))"""))
 def random_fourier(spark, folder):
-    mapped = embeddings(spark, folder).select("vec_id", features.random_fourier(F.col("embedding"), 64, gamma=0.5, dims=20, seed=1).alias("z"))
+    mapped = embeddings(spark, folder).select("vec_id", features.random_fourier(F.col("embedding"), 64, gamma=0.5, seed=1).alias("z"))
     return mapped.select("vec_id", F.posexplode("z").alias("d", "value")).withColumn("value", F.round("value", 6))
+
+
+@add("text_fourier", sql(
+    "SELECT tweet_id, CAST(d AS INTEGER) AS d, round(sqrt(2.0 / 100) * cos(sum(weight * w) + any_value(b)), 6) AS value FROM q JOIN w USING (term) JOIN b USING (d) GROUP BY 1, 2",
+    *COSINES[:-3],
+    "ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i FROM idf)",
+    f"""w AS (SELECT term, d, sqrt(2.0) * sqrt(-2 * ln({sql_unit("'1:' || i || ':' || d || ':r'")})) * cos(2 * pi() * {sql_unit("'1:' || i || ':' || d || ':a'")}) AS w FROM ids, range(100) c(d))""",
+    f"""b AS (SELECT d, 2 * pi() * {sql_unit("'1:' || d || ':b'")} AS b FROM range(100) c(d))"""))
+def text_fourier(spark, folder):
+    """Held-out messages through the map in front of the non-linear text classifier."""
+    train_tf, test_tf = train_test_tf(spark, folder)
+    weights = text_features(test_tf, numbered_idf(train_tf, "doc_key"), "tweet_id")
+    return FourierMap().features(weights, "tweet_id").select(
+        "tweet_id", F.col("term").cast("int").alias("d"), F.round("value", 6).alias("value")
+    )

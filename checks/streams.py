@@ -53,9 +53,8 @@ def stream_region(spark, folder):
 
 @add("stream_cap", "SELECT event_type, least(count(*), 1500) AS n FROM events GROUP BY 1")
 def stream_cap(spark, folder):
-    capped = capture.cap_stream(event_stream(spark, folder), "event_type", 1500)
     out = staged_path(spark, "capped")
-    capture.run_available(capture.write_capture_stream(capped, out, staged_path(spark, "checkpoint"), "event_type"))
+    capture.run_available(capture.write_capped_stream(event_stream(spark, folder), "event_type", 1500, out, staged_path(spark, "checkpoint")))
     return spark.read.json(out).groupBy("event_type").agg(F.count_distinct("event_id").alias("n"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -13,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherewords.functions.scalars import squared_distance
+from wherewords.operators import lloyd
 from wherewords.operators.similarity import best_in_blocks
+from wherewords.operators.vocabulary import dense_ids
 from wherewords.session import small_table, stage
 
 # Documents whose exact coordinates are computed; their square matrix passes the driver.
@@ -72,53 +73,30 @@ def doc_coordinates(weights: DataFrame, key: str = "doc_key", term: str = "term"
     return weights.sparkSession.createDataFrame(placed, [key, "features"])
 
 
-def kmeans(
-    vectors: DataFrame, k: int, seeds: list[int] | None = None, max_iter: int = 100
-) -> KMeansModel:
-    """The cheapest of one k-means fit per seed."""
-    cached = vectors.persist()
-    try:
-        fits = [
-            KMeans(k=k, maxIter=max_iter, seed=seed, initMode="k-means||").fit(cached)
-            for seed in (seeds or [42])
-        ]
-        return min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        cached.unpersist()
+def kmeans(vectors: DataFrame, key: str, k: int, seeds: list[int] | None = None, max_iter: int = 100) -> DataFrame:
+    """(key, cluster) of the cheapest of ten starts, or of one for each seed."""
+    return kmeans_sweep(vectors, key, [k], seeds, max_iter).drop("k")
 
 
 def one_cluster_each(docs: DataFrame, key: str) -> DataFrame:
     """k = number of documents: every document its own cluster, numbered by key."""
-    rows = [(k, i) for i, k in enumerate(doc_keys(docs, key))]
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, cluster int"
-    return small_table(docs.sparkSession, rows, schema)
+    return dense_ids(docs, key, "cluster").withColumn("cluster", F.col("cluster").cast("int"))
 
 
 def renumber(clustered: DataFrame) -> DataFrame:
     """Cluster numbers without gaps, as the classifiers need them as labels."""
-    used = doc_keys(clustered, "cluster")
-    kind = clustered.schema["cluster"].dataType.simpleString()
-    numbers = small_table(
-        clustered.sparkSession, [(c, i) for i, c in enumerate(used)], f"cluster {kind}, _new int"
-    )
-    joined = clustered.join(numbers, "cluster").withColumn("cluster", F.col("_new"))
+    numbers = dense_ids(clustered, "cluster", "_new")
+    joined = clustered.join(numbers, "cluster").withColumn("cluster", F.col("_new").cast("int"))
     return joined.select(*clustered.columns)
 
 
 def kmeans_sweep(
-    vectors: DataFrame, key: str, ks: list[int], seeds: list[int] | None = None
+    vectors: DataFrame, key: str, ks: list[int], seeds: list[int] | None = None, max_iter: int = 100
 ) -> DataFrame:
-    """(k, key, cluster) for several numbers of clusters."""
-    parts = [
-        kmeans(vectors, k, seeds).transform(vectors).select(
-            F.lit(k).alias("k"), key, F.col("prediction").alias("cluster")
-        )
-        for k in ks
-    ]
-    swept = parts[0]
-    for part in parts[1:]:
-        swept = swept.unionAll(part)
-    return swept
+    """(k, key, cluster) for several numbers of clusters, all fitted in the same passes; of each
+    the cheapest of ten starts, or of one for each seed."""
+    fits = lloyd.fit_all(vectors, key, ks, seeds or list(range(1, lloyd.STARTS + 1)), max_iter=max_iter)
+    return lloyd.assigned(vectors, key, lloyd.best_of_starts(fits))
 
 
 def cluster_members(clustered: DataFrame, doc: str = "doc_key") -> DataFrame:

@@ -7,13 +7,14 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, HashingTF, StopWordsRemover
+from pyspark.ml.feature import HashingTF, StopWordsRemover
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewords.functions import text
+from wherewords.operators.vocabulary import dense_ids
 from wherewords.operators.words import doc_freq
 from wherewords.session import stage
 
@@ -51,15 +52,13 @@ def tfidf(
     return scaled.select(key, term, (F.col("weight") / F.col("_norm")).alias("weight"))
 
 
-def count_vectorize(df: DataFrame, words: str, out: str):
-    """(model, counts): the whole vocabulary of these rows and their count vectors.
-
-    The model holds the vocabulary on the driver, so it is for terms that fit there;
-    counts over a vocabulary of any size are the long tables of ``words.bag_of_words``.
-    """
-    distinct = df.select(F.explode(words).alias("word")).distinct().count()
-    model = CountVectorizer(inputCol=words, outputCol=out, vocabSize=max(1, distinct)).fit(df)
-    return model, model.transform(df)
+def count_vectorize(df: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, counts): the distinct words numbered in their order, (word, id), and the
+    rows' counts, (key, id, tf); both of any size."""
+    tokens = df.select(key, F.explode(words).alias("word"))
+    counts = stage(tokens.filter("word is not null").groupBy(key, "word").agg(F.count("*").alias("tf")), "counts")
+    vocab = stage(dense_ids(counts, "word"), "vocabulary")
+    return vocab, counts.join(vocab, "word").select(key, "id", "tf")
 
 
 FIELDS = ("text", "user_description", "hashtags")

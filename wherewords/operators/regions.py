@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.functions import scalars, text
+from wherewords.functions import scalars
+from wherewords.session import stage
 
 
 def region_dim(regions: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -82,14 +83,34 @@ def tag_region(
 
 
 def extract_places(
-    df: DataFrame, gazetteer: DataFrame, key: str, words: Column, max_words: int = 3
+    df: DataFrame, gazetteer: DataFrame, key: str, words: Column, max_words: int | None = None
 ) -> DataFrame:
-    """(key, place, n): the gazetteer's lower-case place names among the 1- to
-    ``max_words``-grams of a text. Only texts with a place have rows."""
-    grams = df.select(key, F.explode(text.ngrams(words, max_words)).alias("place"))
-    return grams.join(gazetteer.select("place").distinct(), "place").groupBy(key, "place").agg(
-        F.count("*").alias("n")
+    """(key, place, n): the gazetteer's lower-case place names among the words of a text, names
+    of up to ``max_words`` words if given. Only texts with a place have rows.
+
+    A name is looked for where its anchor is, the word of it that the texts hold least often;
+    the words around it are compared there. So a row per word at most goes into the join.
+    """
+    names = gazetteer.select("place").filter(F.col("place") != "").distinct().withColumn("_names", F.split("place", " "))
+    if max_words is not None:
+        names = names.filter(F.size("_names") <= max_words)
+    names = stage(names, "place-names")
+    parts = names.select("place", "_names", F.posexplode("_names").alias("_at", "_word"))
+    # Outer: from a plain one a filter is inferred that splits the text a second time.
+    here = df.select(key, words.alias("_words")).select(key, "_words", F.posexplode_outer("_words").alias("_pos", "_word"))
+    known = stage(parts.select("_word").distinct(), "place-words")
+    often = here.select("_word").join(known, "_word").groupBy("_word").agg(F.count("*").alias("_often"))
+    anchors = stage(
+        parts.join(often, "_word", "left")
+        .groupBy("place", "_names").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_at", "_word")).alias("_first"))
+        # A word that no text has: the name is nowhere.
+        .filter(F.col("_first.often") > 0)
+        .select("place", "_names", F.col("_first._at").alias("_at"), F.col("_first._word").alias("_word")),
+        "place-anchors",
     )
+    begin = F.col("_pos") - F.col("_at")
+    fits = (begin >= 0) & (F.slice("_words", F.greatest(begin, F.lit(0)) + 1, F.size("_names")) == F.col("_names"))
+    return here.join(anchors, "_word").filter(fits).groupBy(key, "place").agg(F.count("*").alias("n"))
 
 
 def place_list(mentions: DataFrame, key: str) -> DataFrame:

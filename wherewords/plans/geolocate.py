@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewords.operators.aggregates import profile
+from wherewords.operators.blocks import BLOCK_ROWS, renamed
 from wherewords.operators.features import idf_weight
+from wherewords.operators.topk import GROUP_DOCS, half_up, list_matrix, products
+from wherewords.operators.vocabulary import dense_ids
 from wherewords.operators.words import message_terms, term_counts
 from wherewords.session import stage
 
 
+# Number of the list with the profiles' squared lengths.
+SQUARES = -2
+
+
 @dataclass
 class CountryModel:
     """What is learnt from the training rows: one profile row per country, and
@@ -35,25 +44,6 @@ def learn_countries(train: DataFrame, stopwords: DataFrame) -> CountryModel:
     )
 
 
-def postings(profile_tf: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row per term: document frequency, and its profiles grouped by cluster.
-
-    There are at most as many entries per term as profiles (countries).
-    """
-    by_cluster = (
-        profile_tf.join(profiles.select("doc_key", "cluster"), "doc_key")
-        .groupBy("term", "cluster")
-        .agg(
-            F.count("*").alias("df_cluster"),
-            F.collect_list(F.struct("doc_key", "tf")).alias("docs"),
-        )
-    )
-    return by_cluster.groupBy("term").agg(
-        F.sum("df_cluster").alias("df"),
-        F.collect_list(F.struct("cluster", "df_cluster", "docs")).alias("clusters"),
-    )
-
-
 def geolocate(
     pred: DataFrame,
     query_tf: DataFrame,
@@ -62,122 +52,111 @@ def geolocate(
     idf_scope: str = "global",
     digits: int = 6,
     query: str = "tweet_id",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The most similar country of the predicted cluster, for all messages at once.
 
     ``pred`` (query, cluster), ``query_tf`` (query, term, tf), ``profiles``
     (doc_key, cluster, lat, lon), ``profile_tf`` (doc_key, term, tf). Gives
-    (query, country, lat, lon, score), ties by country.
+    (query, cluster, country, lat, lon, score), ties by country.
 
     ``idf_scope="global"`` weighs terms over all profiles. ``"cluster"`` weighs
     them for each message over its candidates and the message itself, as if the
     TF-IDF were fitted anew per message; the document frequencies of the cluster
-    are enough for that, so it is the same single join on the term.
+    are enough for that.
+
+    A block of messages of one cluster meets the counts of its own terms, and
+    products are added up in place, see :mod:`wherewords.operators.topk`.
     """
     if idf_scope not in ("global", "cluster"):
         raise ValueError("idf_scope is 'global' or 'cluster'")
     per_cluster = idf_scope == "cluster"
-    profiles = stage(profiles.select("doc_key", "cluster", "lat", "lon"), "clustered-profiles")
-    table = stage(postings(profile_tf, profiles), "postings")
-    sizes = profiles.groupBy("cluster").agg(F.count("*").alias("cluster_size"))
-    n_docs = profiles.agg(F.count("*")).scalar()
-
-    # Lengths of the profiles before a message is added.
-    entries = table.select("term", "df", F.explode("clusters").alias("c")).select(
-        "df", "c.cluster", "c.df_cluster", F.explode("c.docs").alias("d")
+    in_cluster = Window.partitionBy("cluster").orderBy("doc_key")
+    profiles = stage(
+        profiles.select("doc_key", "cluster", "lat", "lon").withColumn("slot", F.row_number().over(in_cluster) - 1), "clustered-profiles"
     )
-    if per_cluster:
-        entries = entries.join(sizes, "cluster")
-        base_idf = idf_weight(F.col("cluster_size") + 1, F.col("df_cluster"))
-    else:
-        base_idf = idf_weight(n_docs, F.col("df"))
-    lengths = entries.groupBy(F.col("d.doc_key").alias("doc_key")).agg(
-        F.sum(F.pow(F.col("d.tf") * base_idf, F.lit(2.0))).alias("square")
+    n_docs = profiles.count()
+    sizes = stage(profiles.groupBy("cluster").agg(F.count("*").alias("cluster_size")), "cluster-sizes")
+    terms = stage(dense_ids(profile_tf, "term", "term_id"), "terms")
+    counts = stage(
+        profile_tf.join(profiles.select("doc_key", "cluster", "slot"), "doc_key").join(terms, "term").select("cluster", "slot", "term", "term_id", "tf"),
+        "profile-counts",
     )
+    in_scope = counts.groupBy("cluster", "term_id").agg(F.count("*").alias("df")) if per_cluster else counts.groupBy("term_id").agg(F.count("*").alias("df"))
+    in_scope = stage(in_scope, "document-frequencies")
+    scope = ["cluster", "term_id"] if per_cluster else ["term_id"]
+
+    # Lengths of the profiles before a message is added.
+    n = F.col("cluster_size") + 1 if per_cluster else F.lit(n_docs)
+    entries = counts.join(in_scope, scope).join(sizes, "cluster")
+    square = F.sum(F.pow(F.col("tf") * idf_weight(n, F.col("df")), F.lit(2.0)))
+    lengths = entries.groupBy("cluster", "slot").agg(square.alias("square"))
     candidates = stage(
-        profiles.join(lengths, "doc_key", "left")
-        .withColumn("square", F.coalesce("square", F.lit(0.0)))
-        .groupBy("cluster")
-        .agg(
-            F.count("*").alias("cluster_size"),
-            F.array_sort(F.collect_list(F.struct("doc_key", "lat", "lon", "square"))).alias(
-                "candidates"
-            ),
-        ),
-        "candidates",
+        profiles.join(lengths, ["cluster", "slot"], "left").withColumn("square", F.coalesce("square", F.lit(0.0))), "candidates"
     )
 
-    # One join on the term; the cluster's entries are picked out of its row.
-    clustered = query_tf.join(pred.select(query, "cluster"), query).join(
-        candidates.select("cluster", "cluster_size"), "cluster"
-    )
-    hit = F.get(F.filter("clusters", lambda c: c["cluster"] == F.col("cluster")), F.lit(0))
-    met = clustered.join(table, "term", "left").withColumn("hit", hit)
-    found = F.coalesce(F.col("hit.df_cluster"), F.lit(0))
+    # Messages: per term the weight in the product, and what the message adds to a profile's length.
+    known = query_tf.join(pred.select(query, "cluster"), query).join(sizes, "cluster").join(terms, "term", "left").join(in_scope, scope, "left")
+    found = F.coalesce("df", F.lit(0))
     if per_cluster:
-        idf = idf_weight(F.col("cluster_size") + 1, found + 1)
-        added = idf * idf - F.pow(idf_weight(F.col("cluster_size") + 1, found), F.lit(2.0))
+        idf = idf_weight(n, found + 1)
+        added = idf * idf - F.pow(idf_weight(n, found), F.lit(2.0))
     else:
-        idf = F.coalesce(idf_weight(n_docs, F.col("df")), F.lit(0.0))
+        idf = F.when(F.col("df").isNotNull(), idf_weight(n, F.col("df"))).otherwise(0.0)
         added = F.lit(0.0)
-    weighed = met.select(
-        query, "tf", idf.alias("idf"), added.alias("added"), F.col("hit.docs").alias("docs")
-    )
-
-    # Regroup by message once; both aggregates below keep that partitioning.
-    by_doc = (
-        weighed.repartition(query)
-        .select(query, "tf", "idf", "added", F.posexplode_outer("docs").alias("pos", "d"))
-        .groupBy(query, F.col("d.doc_key").alias("doc_key"))
-        .agg(
-            F.sum(F.col("tf") * F.col("d.tf") * F.pow("idf", F.lit(2.0))).alias("product"),
-            F.sum(F.pow("d.tf", F.lit(2.0)) * F.col("added")).alias("extra"),
-            F.sum(
-                F.when(F.coalesce("pos", F.lit(0)) == 0, F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))
-            ).alias("own"),
-        )
-    )
-    per_query = by_doc.groupBy(query).agg(
-        F.sum("own").alias("own"),
-        F.collect_list(
-            F.when(F.col("doc_key").isNotNull(), F.struct("doc_key", "product", "extra"))
-        ).alias("scored"),
+    cells = known.select(query, "cluster", "term_id", "tf", idf.alias("idf"), added.alias("added"), F.col("df").isNotNull().alias("shared"))
+    cell = F.struct(F.col("term_id").alias("term"), (F.col("tf") * F.pow("idf", F.lit(2.0))).alias("value"), "added")
+    rows = stage(
+        cells.groupBy(query, "cluster").agg(
+            F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))).alias("own"), F.collect_list(F.when(F.col("shared"), cell)).alias("cells")
+        ).filter(F.size("cells") > 0)
+        .select(query, "cluster", "own", F.col("cells.term").alias("terms"), F.col("cells.value").alias("values"), F.col("cells.added").alias("added")),
+        "message-rows",
     )
-    rated = F.transform(
-        F.coalesce("scored", F.array().cast("array<struct<doc_key:string,product:double,extra:double>>")),
-        lambda s: F.struct(
-            F.round(
-                -s["product"]
-                / F.sqrt(F.col("own"))
-                / F.sqrt(
-                    s["extra"]
-                    + F.get(F.filter("candidates", lambda c: c["doc_key"] == s["doc_key"]), F.lit(0))["square"]
-                ),
-                digits,
-            ).alias("badness"),
-            s["doc_key"].alias("doc_key"),
-        ),
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int"))
+
+    width = F.lit(GROUP_DOCS)
+    group, slot = F.floor(F.col("slot") / width).cast("int").alias("group"), (F.col("slot") % width).cast("int")
+    lists = counts.groupBy("cluster", group, F.col("term_id").alias("term")).agg(F.collect_list(F.struct(slot.alias("slot"), F.col("tf").cast("double").alias("weight"))).alias("cells"))
+    # The profiles' lengths come along as the list of a term that no message has.
+    squares = candidates.groupBy("cluster", group).agg(F.collect_list(F.struct(slot.alias("slot"), F.col("square").alias("weight"))).alias("cells"))
+    lists = stage(
+        lists.unionAll(squares.select("cluster", "group", F.lit(SQUARES).cast("bigint").alias("term"), "cells"))
+        .select("cluster", "group", "term", F.col("cells.slot").alias("slots"), F.col("cells.weight").alias("weights")),
+        "lists",
     )
-    best = F.array_min("rated")
-    chosen = F.when(best["badness"] < 0, best["doc_key"]).otherwise(
-        F.get("candidates", F.lit(0))["doc_key"]
+    kind, cluster_kind = (f.schema[c].dataType.simpleString() for f, c in ((rows, query), (rows, "cluster")))
+
+    def best(rows: pa.Table, lists: pa.Table) -> pa.Table:
+        group = rows["group"][0].as_py()
+        width = int(np.max(lists["slots"].combine_chunks().flatten().to_numpy(), initial=-1)) + 1
+        own, matrix = list_matrix(lists, width)
+        square = matrix[own == SQUARES].sum(axis=0)
+        product, extra = products(own, matrix, rows, "values", "added")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = product / np.sqrt(rows["own"].to_numpy())[:, None] / np.sqrt(extra + square)
+        scores = half_up(np.where(product > 0, scores, 0.0), digits)
+        slot = scores.argmax(axis=1)
+        return pa.table({
+            query: rows[query], "cluster": rows["cluster"], "slot": pa.array((slot + group * GROUP_DOCS).astype(np.int32)),
+            "score": pa.array(scores[np.arange(len(scores)), slot]),
+        })
+
+    groups = lists.select("cluster", "group").distinct()
+    each = rows.join(groups, "cluster")
+    needed = rows.select("cluster", "block", F.explode(F.concat("terms", F.array(F.lit(SQUARES).cast("bigint")))).alias("term")).distinct()
+    met = renamed(each).groupBy("cluster", "block", "group").cogroup(needed.join(lists, ["cluster", "term"]).groupBy("cluster", "block", "group"))
+    scored = met.applyInArrow(best, f"{query} {kind}, cluster {cluster_kind}, slot int, score double")
+    chosen = scored.groupBy(query, "cluster").agg(F.min(F.struct((-F.col("score")).alias("badness"), "slot")).alias("best"))
+    placed = (
+        pred.select(query, "cluster").join(chosen, [query, "cluster"], "left")
+        .withColumn("score", F.coalesce(-F.col("best.badness"), F.lit(0.0)))
+        # Without a shared term the first candidate.
+        .withColumn("slot", F.when(F.col("score") > 0, F.col("best.slot")).otherwise(0))
     )
-    place = F.get(F.filter("candidates", lambda c: c["doc_key"] == F.col("country")), F.lit(0))
-    return (
-        pred.select(query, "cluster")
-        .join(per_query, query, "left")
-        .join(candidates.drop("cluster_size"), "cluster")
-        .withColumn("rated", rated)
-        .withColumn("country", chosen)
-        .withColumn("place", place)
-        .select(
-            query,
-            "cluster",
-            "country",
-            "place.lat",
-            "place.lon",
-            F.coalesce(-F.least(best["badness"], F.lit(0.0)), F.lit(0.0)).alias("score"),
-        )
+    return placed.join(candidates, ["cluster", "slot"]).select(
+        query, "cluster", F.col("doc_key").alias("country"), "lat", "lon", "score"
     )
 
 

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.operators.clusters import doc_keys, doc_svd, term_rows
 from wherewords.operators.features import idf_table, tfidf
-from wherewords.operators.similarity import nearest_by_cosine, score_pairs
-from wherewords.operators.windows import top_k
-from wherewords.session import small_table, stage
+from wherewords.operators.similarity import nearest_by_cosine
+from wherewords.operators.svd import block_svd
+from wherewords.operators.topk import nearest_sparse
+from wherewords.session import stage
 
 
 @dataclass
@@ -23,47 +23,29 @@ class TopicModel:
 
 
 def lsi(profile_tf: DataFrame, k: int = 2) -> TopicModel:
-    """Truncated SVD of the count matrix.
-
-    Terms are the distributed rows and the documents the columns; only a
-    documents x k matrix passes the driver. The terms' own topic weights are
-    computed back from it as a join and a sum.
-    """
+    """Truncated SVD of the count matrix, of any number of documents and terms."""
     counts = stage(profile_tf.select("doc_key", "term", "tf"), "topic-counts")
-    keys = doc_keys(counts, "doc_key")
-    values, vectors = doc_svd(term_rows(counts, "doc_key", keys, "term", "tf"), k)
-    spark = profile_tf.sparkSession
-    docs = small_table(
-        spark,
-        [
-            (key, [float(x) for x in row * values], [float(x) for x in row / values])
-            for key, row in zip(keys, vectors)
-        ],
-        "doc_key string, topics array<double>, unscaled array<double>",
-    )
-    weights = [
-        F.sum(F.col("tf") * F.get("unscaled", F.lit(i))).alias(f"_{i}") for i in range(len(values))
-    ]
-    terms = (
-        counts.join(docs, "doc_key")
-        .groupBy("term")
-        .agg(*weights)
-        .select("term", F.array(*[F.col(f"_{i}") for i in range(len(values))]).alias("topic"))
+    terms, values, docs = block_svd(counts, "term", "doc_key", "tf", k)
+    scale = F.array(*[F.lit(float(x)) for x in values]).cast("array<double>")
+    topics = F.zip_with("vector", scale, lambda x, s: x * s)
+    return TopicModel(
+        stage(terms.select("term", F.col("vector").alias("topic")), "topic-terms"),
+        stage(docs.select("doc_key", topics.alias("topics")), "topic-docs"),
     )
-    return TopicModel(stage(terms, "topic-terms"), docs.select("doc_key", "topics"))
 
 
 def fold_in(query_tf: DataFrame, model: TopicModel, query: str = "tweet_id") -> DataFrame:
-    """Topic vectors of messages; unknown terms are left out."""
-    size = model.docs.select(F.max(F.size("topics"))).first()[0]
+    """Topic vectors of messages; unknown terms add nothing, and a message of those alone
+    has a zero vector."""
+    size = model.docs.select(F.max(F.size("topics"))).first()[0] or 0
     sums = [
         F.sum(F.col("tf") * F.get("topic", F.lit(i))).alias(f"_{i}") for i in range(size)
     ]
     return (
-        query_tf.join(model.terms, "term")
+        query_tf.join(model.terms, "term", "left")
         .groupBy(query)
         .agg(*sums)
-        .select(query, F.array(*[F.col(f"_{i}") for i in range(size)]).alias("topics"))
+        .select(query, F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(size)]).alias("topics"))
     )
 
 
@@ -77,10 +59,10 @@ def retrieve_top_k(
 
 
 def retrieve_top_k_tfidf(
-    query_tf: DataFrame, profile_tf: DataFrame, k: int = 5, query: str = "tweet_id", digits: int = 6
+    query_tf: DataFrame, profile_tf: DataFrame, k: int = 5, query: str = "tweet_id", digits: int = 6, keys: DataFrame | None = None
 ) -> DataFrame:
-    """The same by TF-IDF cosine over shared terms."""
+    """The same by TF-IDF cosine over shared terms; ``keys`` are the messages asked for, those
+    without a known term included."""
     idf = stage(idf_table(profile_tf, "doc_key"), "idf")
-    corpus = stage(tfidf(profile_tf, idf, "doc_key", short_docs=False), "corpus")
-    scores = score_pairs(tfidf(query_tf, idf, query), corpus, query, "doc_key")
-    return top_k(scores.withColumn("score", F.round("score", digits)), query, "doc_key", "score", k)
+    corpus = tfidf(profile_tf, idf, "doc_key", short_docs=False)
+    return nearest_sparse(tfidf(query_tf, idf, query), corpus, query, "doc_key", k, digits, keys)

@@ -8,7 +8,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewords.operators.clusters import cluster_members, kmeans, renumber
+from wherewords.operators.clusters import cluster_members, kmeans_sweep, renumber
 from wherewords.session import stage
 
 
@@ -51,11 +51,9 @@ def k_sweep(
     (key, cluster).
     """
     results = None
+    swept = stage(kmeans_sweep(vectors, key, ks), "k-sweep")
     for k in ks:
-        fitted = kmeans(vectors, k).transform(vectors)
-        clustered = stage(
-            renumber(fitted.select(key, F.col("prediction").alias("cluster"))), "k-sweep"
-        )
+        clustered = stage(renumber(swept.filter(F.col("k") == k).select(key, "cluster")), "k-sweep")
         members = cluster_members(clustered, key).select("cluster", "members")
         hits = predict(clustered).join(members, "cluster").agg(
             F.lit(k).alias("k"),

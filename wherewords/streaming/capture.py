@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from wherewords.operators.regions import tag_region
+from wherewords.operators.windows import cap_per_key
 
 CORRUPT = "_corrupt_record"
 
@@ -66,40 +63,46 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def cap_stream(stream: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` messages per key over the life of the stream.
-
-    The count per key is state in the checkpoint and survives a restart. Before
-    the shuffle every task passes on at most ``n`` rows per key, as none of the
-    others could be needed: a hot key does not flood its state task.
+def write_capped_stream(
+    stream: DataFrame,
+    key: str,
+    n: int,
+    path: str,
+    checkpoint: str,
+    fmt: str = "json",
+    order: list[str] | None = None,
+) -> DataStreamWriter:
+    """File sink with at most ``n`` messages per key over the life of the stream, a folder per
+    batch and key.
+
+    The only state is a ledger beside the checkpoint: how many messages each key has had up to a
+    batch. A batch drops the rows of full keys, ranks the others within their key by
+    ``order``, or by their hash, and writes those there is room for, then the ledger. Both are
+    folders of the batch, so a batch that is repeated after a failure overwrites them with the
+    same rows. Ranks are taken per (key, salt) first, so that no task has all rows of a hot key.
     """
-    schema = stream.schema
-
-    def first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for batch in batches:
-            before = batch[key].map(seen).fillna(0).astype(int)
-            place = batch.groupby(key, dropna=False).cumcount() + before
-            for value, count in batch[key].value_counts(dropna=False).items():
-                seen[value] = min(n, seen.get(value, 0) + int(count))
-            yield batch[place < n]
-
-    def keep(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        for batch in batches:
-            passed = batch.head(max(0, n - count))
-            count += len(passed)
-            if len(passed):
-                yield passed
-        state.update((count,))
-
-    return (
-        stream.mapInPandas(first_rows, schema)
-        .groupBy(key)
-        .applyInPandasWithState(keep, schema, "kept long", "append", "NoTimeout")
-    )
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark, ledger = batch.sparkSession, f"{checkpoint}/ledger"
+        kind = batch.schema[key].dataType.simpleString()
+        kept = f"`{key}` {kind}, _kept bigint"
+        # The latest entry is enough, as it counts from the beginning.
+        before = spark.read.schema(kept).parquet(f"{ledger}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], kept)
+        before = before.withColumnRenamed(key, "_key")
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        open_ = batch.join(before, same, "left").filter(F.coalesce("_kept", F.lit(0)) < n)
+        ranked = cap_per_key(
+            open_.withColumn("_order", F.xxhash64(*batch.columns)), key, n, order or ["_order"]
+        )
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(*(order or ["_order"])))
+        passed = ranked.withColumn("_place", rank).filter(F.col("_place") + F.coalesce("_kept", F.lit(0)) <= n)
+        out = f"{path}/batch={batch_id}"
+        passed.select(*batch.columns).write.mode("overwrite").partitionBy(key).format(fmt).save(out)
+        new = spark.read.schema(batch.schema).format(fmt).load(out).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_kept"))
+        total = before.unionAll(new).groupBy("_key").agg(F.sum("_kept").alias("_kept"))
+        total.withColumnRenamed("_key", key).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
 def running_count(stream: DataFrame, key: str) -> DataFrame:
@@ -116,9 +119,8 @@ def capture_regions(
     fmt: str = "json",
 ) -> DataStreamWriter:
     """All countries at once: tag each message with the countries around it, cap
-    every country, write a folder per country."""
-    tagged = tag_region(stream, boxes)
-    return write_capture_stream(cap_stream(tagged, "country", cap), path, checkpoint, "country", fmt)
+    every country, write a folder per batch and country."""
+    return write_capped_stream(tag_region(stream, boxes), "country", cap, path, checkpoint, fmt)
 
 
 def route_bad_rows(
