@@ -44,7 +44,7 @@ VALUES = ORDERS * STEP
 #: Least depth of candidates, and most texts of a region that are all compared.
 LEAST_DEPTH, REGION = 4, 16
 #: Pairs across components for each text of a region, up to which all of those are candidates.
-ACROSS = 256
+ACROSS = 4
 #: Neighbours in the order, on either side, that are candidates at any density.
 NEIGHBOURS = 2
 SKETCH_BITS = 128
@@ -235,9 +235,12 @@ def _crossed(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [batch for batch in batches if batch.num_rows]
-        if parts:
-            for a, b, bits in Sorted(pa.Table.from_batches(parts)).across(percent):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], ["a", "b", "hits"])
+        found = Sorted(pa.Table.from_batches(parts)).across(percent) if parts else []
+        if found:
+            # A pair that meets in several orders of the task is one.
+            pairs, first = np.unique(np.stack([np.concatenate([a for a, _, _ in found]), np.concatenate([b for _, b, _ in found])]), axis=1, return_index=True)
+            bits = np.concatenate([n for _, _, n in found])[first]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(bits)], ["a", "b", "hits"])
 
     return run
 
