@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewords.llm.encode import read_tokenizer, worker_encoder
@@ -139,6 +139,8 @@ def _placed(waiting: list[tuple], sizes: list[int], sequence: int) -> list[tuple
     return rows
 
 
+#: Ids of a task, and stretches of the curve that they are counted in.
+TASK_TOKENS, CURVE_BUCKETS = 2_000_000, 1 << 16
 PIECES = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -147,6 +149,31 @@ def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECES)
 
 
+def _equal_ranges(points: DataFrame, task_bytes: int) -> DataFrame:
+    """The rows dealt to ranges of the curve with about as many ids each.
+
+    The curve is cut into :data:`CURVE_BUCKETS` stretches, whose ids are added up from its
+    beginning; where the sum passes another ``task_bytes``, a task begins. A stretch with more
+    than a task's share, as of copies, is dealt to as many tasks by hash.
+    """
+    size = F.octet_length("ids").cast("bigint")
+    shape = points.agg(F.min("place").alias("low"), F.max("place").alias("high"), F.sum(size).alias("bytes")).first()
+    if shape["low"] is None:
+        return points
+    tasks = max(1, -(-shape["bytes"] // task_bytes))
+    stretch = (shape["high"] - shape["low"]) // CURVE_BUCKETS + 1
+    bucket = F.floor((F.col("place") - shape["low"]) / F.lit(stretch)).cast("int")
+    placed = points.withColumn("bucket", bucket)
+    sums = placed.groupBy("bucket").agg(F.sum(size).alias("bytes"))
+    before = F.sum("bytes").over(Window.orderBy("bucket")) - F.col("bytes")
+    starts = stage(sums.select("bucket", before.alias("before"), "bytes"), "curve-stretches")
+    chance = F.pmod(F.xxhash64("key", "ids"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    inside = F.when(F.col("bytes") > task_bytes, F.col("bytes") * chance).otherwise(0.0)
+    task = F.least(F.floor((F.col("before") + inside) / task_bytes), F.lit(tasks - 1)).cast("int")
+    # At most CURVE_BUCKETS rows of three numbers.
+    return placed.join(F.broadcast(starts), "bucket").withColumn("task", task).repartitionById(tasks, "task").select(*points.columns)
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_json: str,
@@ -177,8 +204,7 @@ def pack_documents(
 
     most = Tokenizer.from_str(tokenizer_json).get_vocab_size() + end_id + 1
     width = 2 if most <= 1 << 16 else 4
-    order = ["place", "key", "ids"]
-    ranged = points.repartitionByRange("place", "key").sortWithinPartitions(*order)
+    ranged = _equal_ranges(points, TASK_TOKENS * width).sortWithinPartitions("place", "key", "ids")
     kinds = ", ".join(f"{name} bigint" for name in PIECES)
     return ranged.select("key", "ids").mapInArrow(packed(width, sequence_tokens), kinds).withColumnRenamed("key", key)
 
