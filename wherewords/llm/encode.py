@@ -22,20 +22,6 @@ from tokenizers import Tokenizer
 
 from wherewords.llm.tables import WordBatch, mix, word_hashes
 
-def cut_rule(settings: dict) -> str | None:
-    splitter, normalizer = settings.get("pre_tokenizer") or {}, settings.get("normalizer")
-    if splitter.get("type") == "ByteLevel" and normalizer is None:
-        return "spaced" if splitter.get("use_regex") and not splitter.get("add_prefix_space") else None
-    parts = splitter.get("pretokenizers") or [{}]
-    first = parts[0]
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    steps = [n.get("type") for n in (normalizer or {}).get("normalizers", [])]
-    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    if removes and " " not in pattern and pattern.endswith(r"[^\s\p{L}\p{N}]+") and steps == ["NFC", "Replace", "Lowercase"]:
-        return "dropped"
-    return None
-
-
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 

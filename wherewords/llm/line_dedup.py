@@ -72,7 +72,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, MIN_DOCS_LONG).otherwise(MIN_DOCS)
     recurring = stage(
         own.groupBy("template")
-        .agg(F.count("*").alias("n"), F.min(F.struct("key", "row")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "row")).alias("first"))
         .filter(F.col("n") >= least)
         .select("template", F.col("first.row").alias("first_row")),
         "templates",
@@ -92,7 +92,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per document: (key, n_lines, n_dropped, dropped).
 
     Null texts have no lines, an empty text has one; repeated rows and copies lose what
-    the first row keeps; among equal keys the first row read is first, null keys before
+    the first row keeps; among equal keys the first row read is first, null keys are after
     all; other columns are left out; an empty table gives no rows.
     """
     steady_places(docs.sparkSession)

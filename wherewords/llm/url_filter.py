@@ -71,11 +71,13 @@ def _strength(children: DataFrame) -> Column:
     return F.greatest(F.least(fitted, F.lit(STRONGEST)), F.lit(WEAKEST))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, domain, suffix, n, bad, rate, lower) out of rows (host, bad 0/1).
+def host_reputation(outcomes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(host, domain, suffix, n, bad, rate, lower) out of rows (host, bad 0/1), for the hosts of
+    ``asked`` (host), or those of the outcomes.
 
+    A host without outcomes has the posterior of its domain, else of its suffix, else of all.
     Null or empty hosts are a host of their own, the empty text; null outcomes do not
-    count. Without any outcome the table is empty.
+    count. Without any outcome the table has no rates.
     """
     parts = F.struct(
         F.regexp_extract("host", REGISTERED, 0).alias("domain"), F.regexp_extract("host", REGISTERED, 2).alias("suffix")
@@ -101,15 +103,22 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     def shrunk(mean: Column, strength: Column) -> Column:
         return (F.col("bad") + strength * mean) / (F.col("n") + strength)
 
-    suffix_means = suffixes.select("suffix", shrunk(F.lit(total), over_suffix).alias("suffix_mean"))
+    suffix_means = stage(suffixes.select("suffix", shrunk(F.lit(total), over_suffix).alias("suffix_mean")), "suffix-means")
     domain_means = stage(
         domains.join(suffix_means, "suffix").select("domain", shrunk(F.col("suffix_mean"), over_domain).alias("domain_mean")),
         "domain-means",
     )
-    alpha = F.col("bad") + over_host * F.col("domain_mean")
+    if asked is not None:
+        every = asked.select(F.coalesce("host", F.lit("")).alias("host")).distinct().select("host", parts.alias("p"))
+        counts = hosts.select("host", "n", "bad")
+        zero = F.lit(0.0)
+        hosts = every.join(counts, "host", "left").select(
+            "host", F.coalesce("n", zero).alias("n"), F.coalesce("bad", zero).alias("bad"), "p.domain", "p.suffix"
+        )
+    mean = F.coalesce("domain_mean", "suffix_mean", F.lit(total))
     both = F.col("n") + over_host
-    rate = alpha / both
-    return hosts.join(domain_means, "domain").select(
+    rate = (F.col("bad") + over_host * mean) / both
+    return hosts.join(domain_means, "domain", "left").join(suffix_means, "suffix", "left").select(
         "host", "domain", "suffix", "n", "bad", rate.alias("rate"),
         (rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (both + 1))).alias("lower"),
     )
@@ -126,8 +135,8 @@ def judge_urls(
     """One row per page: (key, host, path, rule, verdict, rate, lower).
 
     ``outcomes`` has (key, bad 0/1) for some pages; several outcomes of a page all count.
-    A page that no rule fits is blocked if its host's lower bound is above ``max_bad``;
-    hosts without an outcome are allowed. A null url has an empty host and path. Repeated
+    A page that no rule fits is blocked if its host's lower bound is above ``max_bad``, that of a
+    host without an outcome being its domain's, else its suffix's; without any outcome all are allowed. A null url has an empty host and path. Repeated
     rows are judged alike; other columns are left out; an empty table gives no rows.
     """
     parsed = pages.select(
@@ -137,7 +146,7 @@ def judge_urls(
         outcomes.select(F.col(key).alias("page_key"), F.col("bad").cast("int").alias("bad")), "page_key"
     )
     # Staged, so that its true size decides how the pages meet it; a hot host is split.
-    reputation = stage(host_reputation(seen).select("host", "rate", "lower"), "reputation")
+    reputation = stage(host_reputation(seen, parsed).select("host", "rate", "lower"), "reputation")
     fitting = rule_of(F.col("host"), F.col("path"), rules)
     return (
         parsed.withColumn("fit", fitting)
@@ -188,7 +197,9 @@ s AS (SELECT {_sql_strength("suffixes")} AS a, {_sql_strength("domains")} AS b,
   (SELECT sum(bad) / sum(n) FROM hosts) AS m),
 suffix_means AS (SELECT suffix, (bad + a * m) / (n + a) AS mean FROM suffixes, s),
 domain_means AS (SELECT domain, (bad + b * mean) / (n + b) AS mean FROM domains JOIN suffix_means USING (suffix), s),
-rates AS (SELECT host, (bad + c * mean) / (n + c) AS rate, n + c AS both_n FROM hosts JOIN domain_means USING (domain), s),
+every AS (SELECT DISTINCT host, regexp_extract(host, '{REGISTERED}', 0) AS domain, regexp_extract(host, '{REGISTERED}', 2) AS suffix FROM parsed),
+rates AS (SELECT e.host, (coalesce(h.bad, 0) + c * coalesce(d.mean, u.mean, m)) / (coalesce(h.n, 0) + c) AS rate, coalesce(h.n, 0) + c AS both_n
+  FROM every e LEFT JOIN hosts h ON h.host = e.host LEFT JOIN domain_means d ON d.domain = e.domain LEFT JOIN suffix_means u ON u.suffix = e.suffix, s),
 judged AS (SELECT p.*, CASE {_FITS} END AS fit,
     CASE WHEN rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (both_n + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END AS own
   FROM parsed p LEFT JOIN rates USING (host))
