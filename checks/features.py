@@ -59,9 +59,8 @@ def tfidf(spark, folder):
 def train_test_tf(spark, folder):
     stops = stopwords(spark, folder)
     train, test = train_test(messages(spark, folder))
-    train_terms = words.message_terms(train.withColumnRenamed("place_country", "doc_key"), stops, ["doc_key"])
-    test_terms = words.message_terms(test, stops, ["tweet_id"])
-    return stage(words.term_counts(train_terms, "doc_key"), "train-tf"), words.term_counts(test_terms, "tweet_id")
+    train_tf = words.message_term_counts(train.withColumnRenamed("place_country", "doc_key"), stops, "doc_key")
+    return stage(train_tf, "train-tf"), words.message_term_counts(test, stops, "tweet_id")
 
 
 @add("tfidf_transform", sql("SELECT tweet_id, term, round(weight, 6) AS weight FROM w", *BASE, TRAIN_TF, TEST_TF, sql_idf_table("idf", "train_tf", "doc_key"), sql_tfidf("w", "test_tf", "tweet_id", "idf")))

@@ -125,8 +125,8 @@ add("cluster_label", sql("SELECT tweet_id, (SELECT min(doc_key) FROM clustered c
     lambda spark, folder: clusters.label_of_cluster(given_predictions(spark, folder), given_clusters(spark, folder)).select("tweet_id", "label"))
 add("cluster_candidates", sql("SELECT tweet_id, (SELECT string_agg(doc_key, '|' ORDER BY doc_key) FROM clustered c WHERE c.cluster = p.cluster) AS candidates FROM pred p", TWEETS, CLUSTERS, PRED))(
     lambda spark, folder: clusters.candidates_of_cluster(given_predictions(spark, folder), clusters.cluster_members(given_clusters(spark, folder))).select("tweet_id", F.array_join("candidates", "|").alias("candidates")))
-add("candidate_profiles", sql("SELECT tweet_id, doc_key FROM pred JOIN clustered USING (cluster)", TWEETS, CLUSTERS, PRED))(
-    lambda spark, folder: clusters.candidate_profiles(given_predictions(spark, folder), given_clusters(spark, folder)).select("tweet_id", "doc_key"))
+add("candidate_profiles", sql("SELECT tweet_id, string_agg(doc_key, '|' ORDER BY doc_key) AS profiles FROM pred JOIN clustered USING (cluster) GROUP BY 1", TWEETS, CLUSTERS, PRED))(
+    lambda spark, folder: clusters.candidate_profiles(given_predictions(spark, folder), given_clusters(spark, folder)).select("tweet_id", F.array_join(F.transform("profiles", lambda p: p["doc_key"]), "|").alias("profiles")))
 add("exact_accuracy", sql("SELECT count(*) FILTER (label = place_country) AS correct, count(*) AS total FROM pred p JOIN (SELECT cluster, min(doc_key) AS label FROM clustered GROUP BY 1) USING (cluster)", TWEETS, CLUSTERS, PRED))(
     lambda spark, folder: aggregates.exact_accuracy(clusters.label_of_cluster(given_predictions(spark, folder), given_clusters(spark, folder)), "place_country", "label"))
 add("candidate_accuracy", sql("SELECT count(*) FILTER ((p.cluster, p.place_country) IN (SELECT (cluster, doc_key) FROM clustered)) AS correct, count(*) AS total FROM pred p", TWEETS, CLUSTERS, PRED))(

@@ -41,10 +41,19 @@ def points(spark, folder):
     return tweets(spark, folder).select("tweet_id", "lon", "lat")
 
 
+
+def in_leaves(spark, folder):
+    """Crowded cells cut by a quadtree over the points."""
+    located = points(spark, folder)
+    leaves = regions.crowded_leaves(located, 200)
+    return regions.tag_region(located, boxes_of_nations(spark, folder), leaves=leaves)
+
+
+
 add("bbox_join", sql(IN_BOX, TWEETS, BOXES))(
     lambda spark, folder: regions.tag_region(points(spark, folder), boxes_of_nations(spark, folder)).select("tweet_id", "country"))
 add("bbox_grid_join", sql(IN_BOX, TWEETS, BOXES))(
-    lambda spark, folder: regions.tag_region(points(spark, folder), boxes_of_nations(spark, folder), cell_deg=7.0).select("tweet_id", "country"))
+    lambda spark, folder: in_leaves(spark, folder).select("tweet_id", "country"))
 
 
 @add("bbox_smallest", sql(f"SELECT tweet_id, country FROM (SELECT tweet_id, b.country, row_number() OVER (PARTITION BY tweet_id ORDER BY (lon_max - lon_min) * (lat_max - lat_min), b.country) AS r FROM tweets t JOIN (SELECT * FROM boxes UNION ALL SELECT * FROM wide) b ON {INSIDE}) WHERE r = 1", TWEETS, BOXES, WIDE))

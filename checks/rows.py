@@ -263,10 +263,11 @@ def known_lang(spark, folder):
     return joins.keep_known_lang(test, train).select("tweet_id", "user_lang")
 
 
-LANGS = ["de", "en", "es", "fr", "ja", "nl", "pt", "zh"]
-
-
-@add("lang_one_hot", sql("SELECT tweet_id, " + ", ".join(f"CAST(user_lang = '{x}' AS INTEGER) AS lang_{x}" for x in LANGS) + " FROM messages", TWEETS, MESSAGES))
+@add("lang_one_hot", sql(
+    "SELECT tweet_id, user_lang, CAST(id AS BIGINT) AS id FROM messages JOIN ids USING (user_lang)", TWEETS, MESSAGES,
+    "ids AS (SELECT user_lang, row_number() OVER (ORDER BY user_lang) - 1 AS id FROM (SELECT DISTINCT user_lang FROM messages WHERE user_lang IS NOT NULL))"))
 def lang_one_hot(spark, folder):
+    """The flag of each message's language, by its number."""
     df = messages(spark, folder).select("tweet_id", "user_lang")
-    return joins.one_hot_join(df, "user_lang", joins.known_values(df, "user_lang"))
+    values, cells = joins.one_hot_cells(df, "tweet_id", "user_lang")
+    return cells.join(values, cells["term"] == values["id"]).select("tweet_id", "user_lang", "id")

@@ -124,11 +124,11 @@ def description_tokens(spark, folder):
 
 def country_tf(spark, folder):
     df = messages(spark, folder).withColumnRenamed("place_country", "doc_key")
-    return words.term_counts(words.message_terms(df, stopwords(spark, folder), ["doc_key"]), "doc_key")
+    return words.message_term_counts(df, stopwords(spark, folder), "doc_key")
 
 
 def tweet_tf(spark, folder):
-    return words.term_counts(words.message_terms(messages(spark, folder), stopwords(spark, folder), ["tweet_id"]), "tweet_id")
+    return words.message_term_counts(messages(spark, folder), stopwords(spark, folder), "tweet_id")
 
 
 COUNTRY_TF = "country_tf AS (SELECT place_country AS doc_key, term, count(*) AS tf FROM terms GROUP BY 1, 2)"

@@ -11,6 +11,8 @@ from wherewords import session
 from wherewords.functions import scalars
 from wherewords.operators import aggregates, clusters, features, joins, regions, rows, similarity
 from wherewords.operators import windows, words
+from wherewords.operators import topk
+from wherewords.plans import geolocate as geolocate_plan
 from wherewords.plans.geolocate import geolocate
 from wherewords.sources.boxes import bbox_dimension
 from wherewords.sources.files import read_tweets, write_table
@@ -125,6 +127,28 @@ def test_stem_forms_agree(spark):
     assert direct["en", "sing"] == "sing" and direct["en", "singing"] == "sing"
 
 
+def test_crowded_cells(spark):
+    """Nine tenths of the points in one cell, half of those at one spot: no key has many, and
+    the same boxes are found."""
+    rng = np.random.default_rng(1)
+    lon, lat = rng.uniform(-180, 180, 6000), rng.uniform(-90, 90, 6000)
+    lon[:5400], lat[:5400] = rng.normal(7.0, 1.5, 5400), rng.normal(47.0, 1.5, 5400)
+    lon[:2700], lat[:2700] = 8.5, 47.4
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat))] + [(6000, None, 1.0)]
+    points = session.stage(spark.createDataFrame(rows, "id int, lon double, lat double"), "points")
+    boxes = bbox_dimension(spark)
+    leaves = session.stage(regions.crowded_leaves(points.filter("id % 2 = 0"), 50), "leaves")
+    for multi in ("all", "smallest"):
+        plain = {tuple(r) for r in regions.tag_region(points, boxes, multi).select("id", "country").collect()}
+        cut = regions.tag_region(points, boxes, multi, leaves=leaves).select("id", "country").collect()
+        assert len(cut) == len(plain) and {tuple(r) for r in cut} == plain
+    located, _ = regions._in_leaves(points, regions.box_cells(boxes), leaves, 20.0, 6)
+    sizes = sorted(r["count"] for r in located.filter("lon IS NOT NULL").groupBy("_cell_lon", "_cell_lat", "_level", "_salt").count().collect())
+    # The sample is half of the points, and some lie in cells that it has not seen.
+    assert sizes[-1] <= 4 * 50 < 5400 / 20
+    assert regions.crowded_leaves(points.limit(0), 5).count() == 0
+
+
 def test_boxes(spark):
     boxes = bbox_dimension(spark)
     assert boxes.count() == boxes.select("country").distinct().count() == 174
@@ -195,8 +219,10 @@ def brute_geolocate(scope):
     return {q: (d, -s + 0.0) for q, (s, d) in best.items()}
 
 
+@pytest.mark.parametrize("group_docs", [512, 2])
 @pytest.mark.parametrize("scope", ["global", "cluster"])
-def test_geolocate(spark, scope):
+def test_geolocate(spark, monkeypatch, scope, group_docs):
+    monkeypatch.setattr(geolocate_plan, "GROUP_DOCS", group_docs)
     def counts(texts, key, kind):
         pairs = [(k, t, c) for k, v in texts.items() for t, c in Counter(v.split()).items()]
         return spark.createDataFrame(pairs, f"{key} {kind}, term string, tf bigint")
@@ -207,7 +233,8 @@ def test_geolocate(spark, scope):
     )
     pred = spark.createDataFrame(list(PREDICTED.items()), "tweet_id bigint, cluster int")
     found = geolocate(
-        pred, counts(QUERIES, "tweet_id", "bigint"), profiles, counts(PROFILES, "doc_key", "string"), scope
+        pred, counts(QUERIES, "tweet_id", "bigint"), profiles, counts(PROFILES, "doc_key", "string"), scope,
+        block_rows=1 if group_docs == 2 else 2000,
     ).collect()
     assert {r["tweet_id"]: (r["country"], r["score"]) for r in found} == brute_geolocate(scope)
     assert all(r["lat"] == -r["lon"] == list(CLUSTER).index(r["country"]) for r in found)
@@ -221,3 +248,29 @@ def test_tfidf_forms_agree(spark):
     short = {(r[0], r[1]): round(r[2], 12) for r in features.tfidf(tf, idf, "doc").collect()}
     long = {(r[0], r[1]): round(r[2], 12) for r in features.tfidf(tf, idf, "doc", short_docs=False).collect()}
     assert short == long and short["b", "y"] == 1.0
+
+
+@pytest.mark.parametrize("group_docs,block_rows,k", [(512, 2000, 3), (4, 5, 3), (1, 1, 50)])
+def test_nearest_sparse(spark, monkeypatch, group_docs, block_rows, k):
+    """Blocks and groups of any size, ties, queries without a known term, fewer documents than k."""
+    monkeypatch.setattr(topk, "GROUP_DOCS", group_docs)
+    monkeypatch.setattr(topk, "CELLS", 8)
+    rng = np.random.default_rng(k)
+    corpus = rng.integers(0, 3, (10, 12)) * 0.5
+    queries = rng.integers(0, 3, (17, 12)) * 0.25
+    queries[3] = 0
+
+    def long(matrix, name):
+        return [(f"{name}{i}", f"t{j}", float(x)) for i, row in enumerate(matrix) for j, x in enumerate(row) if x]
+
+    asked = spark.createDataFrame(long(queries, "q") + [("q3", "new", 1.0)], "q string, term string, weight double")
+    docs = spark.createDataFrame(long(corpus, "d"), "d string, term string, weight double")
+    keys = spark.createDataFrame([(f"q{i}",) for i in range(17)] + [("q99",)], "q string")
+    found = {(r["q"], r["rank"]): (r["d"], r["score"]) for r in topk.nearest_sparse(asked, docs, "q", "d", k, 6, keys, block_rows).collect()}
+    names = [f"d{i}" for i in range(10) if corpus[i].any()]
+    scores = {f"q{i}": {f"d{j}": round(float(queries[i] @ corpus[j]), 6) for j in range(10) if corpus[j].any()} for i in range(17)}
+    scores["q99"] = {d: 0.0 for d in names}
+    expected = {
+        (q, n + 1): (d, s) for q, own in scores.items() for n, (d, s) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])
+    }
+    assert found == expected

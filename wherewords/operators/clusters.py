@@ -124,9 +124,12 @@ def candidates_of_cluster(pred: DataFrame, members: DataFrame) -> DataFrame:
     return pred.join(lists, "cluster")
 
 
-def candidate_profiles(pred: DataFrame, profiles: DataFrame) -> DataFrame:
-    """A row per prediction and profile of its cluster."""
-    return pred.join(stage(profiles, "profiles"), "cluster")
+def candidate_profiles(pred: DataFrame, profiles: DataFrame, doc: str = "doc_key") -> DataFrame:
+    """Each prediction with the profiles of its cluster as one array of rows, by document; a row
+    per prediction, not per pair."""
+    parts = F.struct(doc, *[c for c in profiles.columns if c not in (doc, "cluster")])
+    lists = profiles.groupBy("cluster").agg(F.array_sort(F.collect_list(parts)).alias("profiles"))
+    return pred.join(stage(lists, "profiles"), "cluster")
 
 
 def assign_nearest(

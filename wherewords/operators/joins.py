@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherewords.operators.aggregates import group_counts
+from wherewords.operators.vocabulary import dense_ids
 from wherewords.session import stage
 
 
@@ -27,7 +28,8 @@ def keep_known_lang(df: DataFrame, trained: DataFrame, col: str = "user_lang") -
 
 
 def one_hot(df: DataFrame, col: str, known: list[str], prefix: str = "lang_") -> DataFrame:
-    """A 0/1 column per known value, on the same row; values outside give all 0."""
+    """A 0/1 column per known value, on the same row; values outside give all 0. For values
+    without a known bound take :func:`one_hot_cells` or :func:`one_hot_vector`."""
     return df.withColumns(
         {f"{prefix}{v}": F.coalesce(F.col(col) == v, F.lit(False)).cast("int") for v in known}
     )
@@ -46,16 +48,16 @@ def one_hot_vector(df: DataFrame, col: str, out: str) -> PipelineModel:
     return Pipeline(stages=[indexer, encoder]).fit(df)
 
 
-def known_values(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct values for :func:`one_hot`, whose result has a column for each; for
-    values without a known bound take :func:`one_hot_vector`."""
-    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().collect()
-    return sorted(r[0] for r in rows)
+def one_hot_cells(df: DataFrame, key: str, col: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(values, cells): the distinct values numbered in their order, (col, id), and the flags
+    that are one, (key, term, value) with the value's id as term; the others are not written.
 
-
-def one_hot_join(df: DataFrame, col: str, known: list[str]) -> DataFrame:
-    """Flags in place of the column itself."""
-    return one_hot(df, col, known).drop(col)
+    ``known`` are the values of training rows; others, and nulls, have no flag. However many
+    values there are, none passes the driver and no plan grows with them.
+    """
+    values = stage(dense_ids(df, col), "flag-values") if known is None else known
+    flags = df.select(key, col).join(values, col).select(key, F.col("id").alias("term"), F.lit(1.0).alias("value"))
+    return values, flags
 
 
 def stack_features(df: DataFrame, blocks: list[str], out: str = "features") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewords.functions import scalars
@@ -37,12 +37,65 @@ def box_cells(boxes: DataFrame, cell_deg: float = 20.0) -> DataFrame:
     return by_lon.withColumn("_cell_lat", F.explode(span("lat_min", "lat_max")))
 
 
+def crowded_leaves(sample: DataFrame, most: int, cell_deg: float = 20.0, levels: int = 6) -> DataFrame:
+    """Leaves of a quadtree over the grid cells with more than ``most`` points of ``sample``
+    (lon, lat), for :func:`tag_region`.
+
+    (_fine_lon, _fine_lat, _level, _leaf_lon, _leaf_lat, _salts): each finest cell with points,
+    and the leaf it lies in, the largest one with at most ``most`` points. A finest cell with more,
+    as of points at one spot, is dealt to several salts.
+    """
+    size = cell_deg / 2**levels
+    fine = sample.groupBy(_cell(F.col("lon"), size).alias("_fine_lon"), _cell(F.col("lat"), size).alias("_fine_lat")).agg(F.count("*").alias("_n"))
+    level, deepest = F.lit(levels), F.col("_n")
+    for n in reversed(range(levels)):
+        # A row per finest cell, however many points it holds.
+        window = Window.partitionBy(F.shiftright("_fine_lon", levels - n), F.shiftright("_fine_lat", levels - n))
+        fine = fine.withColumn(f"_n{n}", F.sum("_n").over(window))
+        level = F.when(F.col(f"_n{n}") <= most, n).otherwise(level)
+    leaves = fine.withColumn("_level", level).withColumn(
+        "_salts", F.when(deepest > most, F.ceil(deepest / F.lit(most))).otherwise(1).cast("int")
+    )
+    shift = F.lit(levels) - F.col("_level")
+    return leaves.filter("_level > 0 OR _salts > 1").select(
+        "_fine_lon", "_fine_lat", "_level", F.expr(f"shiftright(_fine_lon, {levels} - _level)").alias("_leaf_lon"),
+        F.expr(f"shiftright(_fine_lat, {levels} - _level)").alias("_leaf_lat"), "_salts",
+    )
+
+
+def _in_leaves(points: DataFrame, cells: DataFrame, leaves: DataFrame, cell_deg: float, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Points and box cells under the keys of the quadtree; what no leaf covers keeps its cell."""
+    leaves = stage(leaves, "leaves")
+    size = cell_deg / 2**levels
+    at = {"_fine_lon": _cell(F.col("lon"), size), "_fine_lat": _cell(F.col("lat"), size)}
+    salt = F.pmod(F.xxhash64(*points.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+    located = points.withColumns(at).join(leaves, ["_fine_lon", "_fine_lat"], "left").withColumns({
+        "_salt": salt, "_level": F.coalesce("_level", F.lit(0)),
+        "_cell_lon": F.coalesce("_leaf_lon", _cell(F.col("lon"), cell_deg)), "_cell_lat": F.coalesce("_leaf_lat", _cell(F.col("lat"), cell_deg)),
+    })
+    each = leaves.groupBy("_level", "_leaf_lon", "_leaf_lat").agg(F.max("_salts").alias("_salts")).withColumns({
+        "_cell_lon": F.expr("shiftright(_leaf_lon, _level)"), "_cell_lat": F.expr("shiftright(_leaf_lat, _level)"),
+        "_size": F.lit(cell_deg) / F.pow(F.lit(2.0), F.col("_level")),
+    })
+    touching = (
+        (F.col("lon_max") >= F.col("_leaf_lon") * F.col("_size")) & (F.col("lon_min") <= (F.col("_leaf_lon") + 1) * F.col("_size"))
+        & (F.col("lat_max") >= F.col("_leaf_lat") * F.col("_size")) & (F.col("lat_min") <= (F.col("_leaf_lat") + 1) * F.col("_size"))
+    )
+    in_leaf = cells.join(each, ["_cell_lon", "_cell_lat"]).filter(touching).withColumns({"_cell_lon": F.col("_leaf_lon"), "_cell_lat": F.col("_leaf_lat")})
+    in_leaf = in_leaf.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(*cells.columns, "_level", "_salt")
+    whole = cells.withColumns({"_level": F.lit(0), "_salt": F.lit(0)})
+    # A cell whose only leaf is itself, dealt to salts, is listed once.
+    return located, whole.unionAll(in_leaf).distinct()
+
+
 def tag_region(
     points: DataFrame,
     boxes: DataFrame,
     multi: str = "all",
     cell_deg: float = 20.0,
     out: str = "country",
+    leaves: DataFrame | None = None,
+    levels: int = 6,
 ) -> DataFrame:
     """Points inside a bounding box (edges included) with the box's country.
 
@@ -51,26 +104,34 @@ def tag_region(
     gives a row per matching box; ``"smallest"`` the smallest matching box, ties
     by name, from one list per cell, so that points are never regrouped. Works
     on streams, too.
+
+    ``leaves`` of :func:`crowded_leaves`, with the same ``cell_deg`` and ``levels``, cut crowded
+    cells into several keys; without it, a stream has all points of a city in one key.
     """
     cells = box_cells(boxes, cell_deg)
-    located = points.withColumns(
-        {
-            "_cell_lon": _cell(F.col("lon"), cell_deg),
-            "_cell_lat": _cell(F.col("lat"), cell_deg),
-        }
-    )
+    at = ["_cell_lon", "_cell_lat"]
+    if leaves is None:
+        located = points.withColumns(
+            {
+                "_cell_lon": _cell(F.col("lon"), cell_deg),
+                "_cell_lat": _cell(F.col("lat"), cell_deg),
+            }
+        )
+    else:
+        at = [*at, "_level", "_salt"]
+        located, cells = _in_leaves(points, cells, leaves, cell_deg, levels)
     keep = [F.col(c) for c in points.columns]
     if multi == "all":
         edges = cells.select(
-            "_cell_lon", "_cell_lat", F.col("country").alias("_name"),
+            *at, F.col("country").alias("_name"),
             "lon_min", "lat_min", "lon_max", "lat_max",
         )
-        found = located.join(edges, ["_cell_lon", "_cell_lat"]).filter(_inside())
+        found = located.join(edges, at).filter(_inside())
         return found.select(*keep, F.col("_name").alias(out))
     if multi != "smallest":
         raise ValueError("multi is 'all' or 'smallest'")
     area = (F.col("lon_max") - F.col("lon_min")) * (F.col("lat_max") - F.col("lat_min"))
-    lists = cells.groupBy("_cell_lon", "_cell_lat").agg(
+    lists = cells.groupBy(*at).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(area.alias("area"), "country", "lon_min", "lat_min", "lon_max", "lat_max")
@@ -78,7 +139,7 @@ def tag_region(
         ).alias("_boxes")
     )
     first = F.get(F.filter("_boxes", lambda b: _inside(b)), F.lit(0))
-    found = located.join(lists, ["_cell_lon", "_cell_lat"]).withColumn(out, first["country"])
+    found = located.join(lists, at).withColumn(out, first["country"])
     return found.filter(F.col(out).isNotNull()).select(*keep, out)
 
 

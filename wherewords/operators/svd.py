@@ -8,15 +8,18 @@ squared, whatever the size of the matrix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherewords.session import stage
 
-OVERSAMPLE, POWERS = 10, 4
+OVERSAMPLE, POWERS = 30, 3
 # Directions whose share of the largest square is smaller are rounding errors.
 LEAST_SHARE = 1e-12
 
@@ -28,27 +31,35 @@ def _product(cells: DataFrame, key: str, over: str, vectors: DataFrame) -> DataF
     return stage(sums.select(key, vector_to_array("sum").alias("vector")), "directions")
 
 
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
 def _gram(vectors: DataFrame) -> np.ndarray:
-    """The vectors' products with each other, summed over all rows."""
-    width = vectors.select(F.max(F.size("vector"))).first()[0] or 0
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = vectors.agg(*[F.sum(F.get("vector", F.lit(i)) * F.get("vector", F.lit(j))).alias(f"_{i}_{j}") for i, j in pairs]).first()
-    gram = np.zeros((width, width))
-    for (i, j), value in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = value
-    return gram
-
-
-def times(vector: Column, matrix: np.ndarray) -> Column:
-    """A row's vector times a small matrix."""
-    columns = F.array(*[F.array(*[F.lit(float(x)) for x in column]) for column in matrix.T])
-    return F.transform(
-        columns, lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    )
+    """The vectors' products with each other, summed over all rows, within the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [x.T @ x for x in (_rows(batch) for batch in batches if batch.num_rows)]
+        if sums:
+            yield pa.RecordBatch.from_pydict({"gram": pa.array([sum(sums).reshape(-1)], pa.list_(pa.float64()))})
+
+    parts = vectors.select("vector").mapInArrow(run, "gram array<double>")
+    whole = parts.agg(Summarizer.sum(array_to_vector("gram")).alias("sum")).first()["sum"].toArray()
+    return whole.reshape(round(len(whole) ** 0.5), -1)
 
 
 def _turned(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
-    return vectors.withColumn("vector", times(F.col("vector"), matrix))
+    """Each row's vector times a small matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                turned = _rows(batch) @ matrix
+                offsets = np.arange(len(turned) + 1, dtype=np.int32) * matrix.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(turned.reshape(-1)))
+                yield batch.set_column(batch.schema.get_field_index("vector"), "vector", lists)
+
+    return vectors.mapInArrow(run, vectors.schema)
 
 
 def _orthonormal(vectors: DataFrame) -> DataFrame:
@@ -71,7 +82,9 @@ def block_svd(cells: DataFrame, row: str, col: str, value: str, k: int, seed: in
         none = start.withColumnRenamed("_col", col)
         return left.withColumnRenamed("_row", row), np.zeros(0), none
     left = _orthonormal(left)
-    for _ in range(powers):
+    # With a direction for every column the space is complete, and one turn is enough.
+    columns = start.limit(k + OVERSAMPLE + 1).count()
+    for _ in range(powers if columns > k + OVERSAMPLE else 0):
         right = _orthonormal(_product(cells, "_col", "_row", left))
         left = _orthonormal(_product(cells, "_row", "_col", right))
     right = _product(cells, "_col", "_row", left)

@@ -100,19 +100,8 @@ def description_tokens(
     return kept.select(key, lang, "pos", stem("word", lang).alias("word"))
 
 
-def message_terms(
-    df: DataFrame,
-    stopwords: DataFrame,
-    keys: list[str],
-    lang: str = "user_lang",
-    drop_unstemmed: bool = False,
-) -> DataFrame:
-    """Terms of a message, one row per occurrence: the stemmed words of the clean
-    text without stop words, and the clean hashtags; two characters at least.
-
-    ``drop_unstemmed`` leaves out the rows of languages that have no stemmer.
-    All steps up to the counts are one stage without a shuffle.
-    """
+def _message_words(df: DataFrame, keys: list[str], lang: str, drop_unstemmed: bool) -> DataFrame:
+    """(keys, _lang, _word): lower-case words and hashtags, two characters at least."""
     if drop_unstemmed:
         df = df.filter(has_stemmer(F.col(lang)))
     words = text.clean_words(F.col("text"))
@@ -124,13 +113,42 @@ def message_terms(
     ).select(*keys, "_lang", F.lower("_word").alias("_word"))
     # Tested before stemming, which leaves two characters: the stem stays out of
     # the filter and is computed once.
-    long = long.filter(F.length(F.ltrim("_word", F.lit("#"))) >= 2)
+    return long.filter(F.length(F.ltrim("_word", F.lit("#"))) >= 2)
+
+
+def _stemmed(words: DataFrame, stopwords: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term) without stop words."""
     stops = stopwords.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"))
-    kept = long.join(stops, ["_lang", "_word"], "left_anti")
+    kept = words.join(stops, ["_lang", "_word"], "left_anti")
     # Tags have no language here, so they are not stemmed.
     words_only = F.when(~F.col("_word").startswith("#"), F.col("_lang"))
     kept = kept.withColumn("_lang", words_only)
-    return kept.select(*keys, F.ltrim(stem("_word", "_lang"), F.lit("#")).alias("term"))
+    return kept.select(*keep, F.ltrim(stem("_word", "_lang"), F.lit("#")).alias("term"))
+
+
+def message_terms(
+    df: DataFrame,
+    stopwords: DataFrame,
+    keys: list[str],
+    lang: str = "user_lang",
+    drop_unstemmed: bool = False,
+) -> DataFrame:
+    """Terms of a message, one row per occurrence: the stemmed words of the clean
+    text without stop words, and the clean hashtags; two characters at least.
+
+    ``drop_unstemmed`` leaves out the rows of languages that have no stemmer.
+    All steps up to the counts are one stage without a shuffle.
+    """
+    return _stemmed(_message_words(df, keys, lang, drop_unstemmed), stopwords, *keys)
+
+
+def message_term_counts(
+    df: DataFrame, stopwords: DataFrame, key: str, lang: str = "user_lang", drop_unstemmed: bool = False
+) -> DataFrame:
+    """(key, term, tf): :func:`message_terms` counted. Raw words are counted first, so that each
+    is looked up among the stop words and stemmed once per document and language."""
+    counts = _message_words(df, [key], lang, drop_unstemmed).groupBy(key, "_lang", "_word").agg(F.count("*").alias("_n"))
+    return _stemmed(counts, stopwords, key, "_n").groupBy(key, "term").agg(F.sum("_n").alias("tf"))
 
 
 def term_counts(terms: DataFrame, key: str, term: str = "term") -> DataFrame:

@@ -14,7 +14,7 @@ from wherewords.operators.blocks import BLOCK_ROWS, renamed
 from wherewords.operators.features import idf_weight
 from wherewords.operators.topk import GROUP_DOCS, half_up, list_matrix, products
 from wherewords.operators.vocabulary import dense_ids
-from wherewords.operators.words import message_terms, term_counts
+from wherewords.operators.words import message_term_counts
 from wherewords.session import stage
 
 
@@ -34,13 +34,9 @@ class CountryModel:
 def learn_countries(train: DataFrame, stopwords: DataFrame) -> CountryModel:
     """Profiles and term counts of the countries in ``train``, both staged."""
     rows = profile(train).withColumnRenamed("place_country", "doc_key")
-    terms = message_terms(
-        train.withColumnRenamed("place_country", "doc_key").filter(F.col("doc_key").isNotNull()),
-        stopwords,
-        ["doc_key"],
-    )
+    named = train.withColumnRenamed("place_country", "doc_key").filter(F.col("doc_key").isNotNull())
     return CountryModel(
-        stage(rows, "profiles"), stage(term_counts(terms, "doc_key"), "profile-terms")
+        stage(rows, "profiles"), stage(message_term_counts(named, stopwords, "doc_key"), "profile-terms")
     )
 
 
@@ -167,13 +163,15 @@ def geolocate_messages(
     clusters: DataFrame | None = None,
     pred: DataFrame | None = None,
     idf_scope: str = "global",
+    query: str = "tweet_id",
 ) -> DataFrame:
-    """:func:`geolocate` of raw message rows. Without ``clusters`` (doc_key,
-    cluster) and ``pred`` (tweet_id, cluster) every country is a candidate."""
+    """:func:`geolocate` of raw message rows. Without ``clusters`` (doc_key, cluster) and ``pred``
+    (query, cluster) every country is a candidate. ``query`` is the grain: the rows of one value
+    are located as one text, a message or all messages of a user."""
     if clusters is None:
         profiles = model.profiles.withColumn("cluster", F.lit(0))
-        pred = test.select("tweet_id").withColumn("cluster", F.lit(0))
+        pred = test.select(query).distinct().withColumn("cluster", F.lit(0))
     else:
         profiles = model.profiles.join(clusters, "doc_key")
-    query_tf = term_counts(message_terms(test, stopwords, ["tweet_id"]), "tweet_id")
-    return geolocate(pred, query_tf, profiles, model.profile_tf, idf_scope)
+    query_tf = message_term_counts(test, stopwords, query)
+    return geolocate(pred, query_tf, profiles, model.profile_tf, idf_scope, query=query)

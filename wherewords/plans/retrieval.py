@@ -50,11 +50,11 @@ def fold_in(query_tf: DataFrame, model: TopicModel, query: str = "tweet_id") ->
 
 
 def retrieve_top_k(
-    query_tf: DataFrame, model: TopicModel, k: int = 5, query: str = "tweet_id"
+    query_tf: DataFrame, model: TopicModel, k: int = 5, query: str = "tweet_id", digits: int = 9
 ) -> DataFrame:
     """(query, doc_key, score, rank) by topic cosine."""
     return nearest_by_cosine(
-        fold_in(query_tf, model, query), model.docs, query, "doc_key", "topics", k
+        fold_in(query_tf, model, query), model.docs, query, "doc_key", "topics", k, digits
     )
 
 

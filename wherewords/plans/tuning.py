@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -18,18 +20,24 @@ def grid_search(
     label: str,
     regs: tuple[float, ...] = (1e-3, 1e-2),
     folds: int = 2,
-    max_iter: int = 5,
+    max_iters: tuple[int, ...] = (5,),
+    intercepts: tuple[bool, ...] = (True,),
     parallelism: int = 4,
     seed: int = 42,
 ):
-    """Cross-validated hinge classifiers over regularization weights: the fitted
-    ``CrossValidatorModel`` with ``avgMetrics`` in the order of ``regs``."""
-    svc = LinearSVC(maxIter=max_iter)
+    """Cross-validated hinge classifiers over regularization weights, numbers of steps and
+    intercepts: the fitted ``CrossValidatorModel`` with ``avgMetrics`` in the order of
+    ``product(regs, max_iters, intercepts)``."""
+    svc = LinearSVC()
     ovr = OneVsRest(classifier=svc, featuresCol=features, labelCol=label)
-    # The grid is over the outer estimator's classifier: one per weight.
+    # The grid is over the outer estimator's classifier: one per combination.
+    settings = [
+        {svc.regParam: reg, svc.maxIter: steps, svc.fitIntercept: intercept}
+        for reg, steps, intercept in product(regs, max_iters, intercepts)
+    ]
     grid = (
         ParamGridBuilder()
-        .addGrid(ovr.classifier, [svc.copy({svc.regParam: reg}) for reg in regs])
+        .addGrid(ovr.classifier, [svc.copy(own) for own in settings])
         .build()
     )
     return CrossValidator(
