@@ -26,7 +26,8 @@ RULES = [
 
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 # A suffix is the last label, or two where registrars sell below a country's code.
-REGISTERED = r"(?:([^.]*)\.)?((?:ac|co|com|gov|net|org)\.(?:au|br|cn|in|jp|nz|uk|za)|[^.]*)$"
+SOLD_BELOW, COUNTRIES = ["ac", "co", "com", "gov", "net", "org"], ["au", "br", "cn", "in", "jp", "nz", "uk", "za"]
+REGISTERED = rf"(?:([^.]*)\.)?((?:{'|'.join(SOLD_BELOW)})\.(?:{'|'.join(COUNTRIES)})|[^.]*)$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Hosts whose bad share is above the limit at this many deviations are blocked.
@@ -35,6 +36,18 @@ MAX_BAD, DEVIATIONS = 0.25, 1.645
 WEAKEST, STRONGEST = 1.0, 10_000.0
 
 
+def registered(host: Column) -> Column:
+    """(domain, suffix) as :data:`REGISTERED` has them, by labels: the pattern would try a very
+    long label from each of its letters on."""
+    labels = F.split(host, r"\.", -1)
+    third, second, last = (F.try_element_at(labels, F.lit(-n)) for n in (3, 2, 1))
+    below = (F.size(labels) >= 3) & second.isin(SOLD_BELOW) & last.isin(COUNTRIES)
+    suffix = F.when(below, F.concat_ws(".", second, last)).otherwise(last)
+    front = F.when(below, third).otherwise(second)
+    domain = F.when(F.size(labels) == 1, last).otherwise(F.concat(front, F.lit("."), suffix))
+    return F.struct(domain.alias("domain"), suffix.alias("suffix"))
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host; empty for a null or a text without ``://``."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), SPLIT, 1), UPPER, LOWER)
@@ -79,9 +92,7 @@ def host_reputation(outcomes: DataFrame, asked: DataFrame | None = None) -> Data
     Null or empty hosts are a host of their own, the empty text; null outcomes do not
     count. Without any outcome the table has no rates.
     """
-    parts = F.struct(
-        F.regexp_extract("host", REGISTERED, 0).alias("domain"), F.regexp_extract("host", REGISTERED, 2).alias("suffix")
-    )
+    parts = registered(F.col("host"))
     hosts = stage(
         outcomes.filter(F.col("bad").isNotNull())
         .groupBy(F.coalesce("host", F.lit("")).alias("host"))
