@@ -53,6 +53,8 @@ def in_leaves(spark, folder):
 add("bbox_join", sql(IN_BOX, TWEETS, BOXES))(
     lambda spark, folder: regions.tag_region(points(spark, folder), boxes_of_nations(spark, folder)).select("tweet_id", "country"))
 add("bbox_grid_join", sql(IN_BOX, TWEETS, BOXES))(
+    lambda spark, folder: regions.tag_region(points(spark, folder), boxes_of_nations(spark, folder), cell_deg=7.0).select("tweet_id", "country"))
+add("bbox_crowded_join", sql(IN_BOX, TWEETS, BOXES))(
     lambda spark, folder: in_leaves(spark, folder).select("tweet_id", "country"))
 
 

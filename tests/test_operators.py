@@ -274,3 +274,23 @@ def test_nearest_sparse(spark, monkeypatch, group_docs, block_rows, k):
         (q, n + 1): (d, s) for q, own in scores.items() for n, (d, s) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])
     }
     assert found == expected
+
+
+def test_places_by_their_rarest_word(spark):
+    """Names of one to six words, overlapping and repeated; words that are in no text."""
+    texts = {
+        1: "the bay of the great white bear lies north of new york new york", 2: "new york", 3: "york new", 4: "",
+        5: "bay of the great white", 6: "great great white bear", 7: None,
+    }
+    names = ["new york", "york", "bay of the great white bear", "great white", "white bear", "nowhere", "new nowhere", "the", ""]
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    gazetteer = spark.createDataFrame([(n,) for n in [*names, "york", None]], "place string")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    found = {(r["id"], r["place"]): r["n"] for r in regions.extract_places(df, gazetteer, "id", words).collect()}
+    expected = Counter(
+        (i, name) for i, text in texts.items() for name in names if name
+        for at in range(len((text or "").split())) if (text or "").split()[at : at + len(name.split())] == name.split()
+    )
+    assert found == dict(expected)
+    short = regions.extract_places(df, gazetteer, "id", words, max_words=1).collect()
+    assert {r["place"] for r in short} == {"york", "the"}

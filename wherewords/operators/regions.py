@@ -143,6 +143,10 @@ def tag_region(
     return found.filter(F.col(out).isNotNull()).select(*keep, out)
 
 
+# Share of the texts in which the words of place names are counted.
+ANCHOR_SAMPLE = 0.05
+
+
 def extract_places(
     df: DataFrame, gazetteer: DataFrame, key: str, words: Column, max_words: int | None = None
 ) -> DataFrame:
@@ -151,27 +155,29 @@ def extract_places(
 
     A name is looked for where its anchor is, the word of it that the texts hold least often;
     the words around it are compared there. So a row per word at most goes into the join.
+    How often is counted in a twentieth of the texts: it decides on the work, not on the result.
     """
     names = gazetteer.select("place").filter(F.col("place") != "").distinct().withColumn("_names", F.split("place", " "))
     if max_words is not None:
         names = names.filter(F.size("_names") <= max_words)
     names = stage(names, "place-names")
     parts = names.select("place", "_names", F.posexplode("_names").alias("_at", "_word"))
-    # Outer: from a plain one a filter is inferred that splits the text a second time.
-    here = df.select(key, words.alias("_words")).select(key, "_words", F.posexplode_outer("_words").alias("_pos", "_word"))
+
+    def words_of(rows: DataFrame) -> DataFrame:
+        return rows.select(key, words.alias("_words")).select(key, "_words", F.posexplode_outer("_words").alias("_pos", "_word"))
+
     known = stage(parts.select("_word").distinct(), "place-words")
-    often = here.select("_word").join(known, "_word").groupBy("_word").agg(F.count("*").alias("_often"))
+    often = words_of(df.sample(ANCHOR_SAMPLE, seed=1)).select("_word").join(known, "_word").groupBy("_word").agg(F.count("*").alias("_often"))
     anchors = stage(
         parts.join(often, "_word", "left")
-        .groupBy("place", "_names").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_at", "_word")).alias("_first"))
-        # A word that no text has: the name is nowhere.
-        .filter(F.col("_first.often") > 0)
+        .groupBy("place", "_names").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), -F.length("_word"), "_at", "_word")).alias("_first"))
         .select("place", "_names", F.col("_first._at").alias("_at"), F.col("_first._word").alias("_word")),
         "place-anchors",
     )
     begin = F.col("_pos") - F.col("_at")
     fits = (begin >= 0) & (F.slice("_words", F.greatest(begin, F.lit(0)) + 1, F.size("_names")) == F.col("_names"))
-    return here.join(anchors, "_word").filter(fits).groupBy(key, "place").agg(F.count("*").alias("n"))
+    # Outer, as from a plain explode a filter is inferred that splits the texts a second time.
+    return words_of(df).join(anchors, "_word").filter(fits).groupBy(key, "place").agg(F.count("*").alias("n"))
 
 
 def place_list(mentions: DataFrame, key: str) -> DataFrame:

@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from wherewords.session import stage
 
-# Values of a range: what one task sorts and numbers.
-RANGE_ROWS = 500_000
 _PLACE = (1 << 33) - 1
 
 
-def dense_ids(df: DataFrame, col: str, out: str = "id", range_rows: int = RANGE_ROWS) -> DataFrame:
+def dense_ids(df: DataFrame, col: str, out: str = "id", ranges: int | None = None) -> DataFrame:
     """(col, out): the distinct values of a column numbered 0..n-1 in their order.
 
     The sorted values are cut into ranges, a task each; a value's number is its place in
     the range after the sizes of the ranges before. Only those sizes, a row per range, are
-    ever added up in one place. Nulls get no number.
+    ever added up in one place. Nulls get no number. There are as many ranges as shuffle
+    partitions if not told otherwise; ``df`` is read twice, as the ranges are cut by a sample.
     """
-    values = stage(df.select(col).filter(F.col(col).isNotNull()).distinct(), "values")
-    ranges = max(1, -(-values.count() // range_rows))
+    values = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The identifier counts the rows of a task in its lower 33 bits.
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))
     ranged = stage(
