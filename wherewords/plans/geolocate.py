@@ -169,9 +169,14 @@ def geolocate_messages(
     (query, cluster) every country is a candidate. ``query`` is the grain: the rows of one value
     are located as one text, a message or all messages of a user."""
     if clusters is None:
-        profiles = model.profiles.withColumn("cluster", F.lit(0))
+        clusters = model.profiles.select("doc_key", F.lit(0).alias("cluster"))
         pred = test.select(query).distinct().withColumn("cluster", F.lit(0))
-    else:
-        profiles = model.profiles.join(clusters, "doc_key")
-    query_tf = message_term_counts(test, stopwords, query)
+    return geolocate_counts(message_term_counts(test, stopwords, query), model, clusters, pred, idf_scope, query)
+
+
+def geolocate_counts(
+    query_tf: DataFrame, model: CountryModel, clusters: DataFrame, pred: DataFrame, idf_scope: str = "global", query: str = "tweet_id"
+) -> DataFrame:
+    """:func:`geolocate_messages` of messages whose terms are counted already, (query, term, tf)."""
+    profiles = model.profiles.join(clusters, "doc_key")
     return geolocate(pred, query_tf, profiles, model.profile_tf, idf_scope, query=query)
