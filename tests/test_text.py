@@ -71,3 +71,21 @@ def test_null_stays_null(spark):
         text.null_text(F.col("text")).alias("c"), text.null_text(F.col("text"), True).alias("d"),
     ).first()
     assert tuple(row) == (None, None, "", "nan")
+
+
+def test_plain_tokens_and_tags_are_those_of_the_patterns(spark):
+    """Texts of ASCII words take a short way, and tags are picked without a split."""
+    rows = ["", "a  b", "Aaaab 11111 c", "a\n", "a b\n", "x @user y", "é a", "a-b c's", " #a#b x#y #c\u00a0#d \U0001f600#e #", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", text.HANDLE, "$1 "), r"(.)\1{2,}", "$1$1$1")
+    by_pattern = F.regexp_extract_all(F.lower(plain), F.lit(text.TWEET_TOKEN), 0)
+    tags = F.filter(text.tokens(F.col("t")), lambda t: t.startswith("#"))
+    by_split = F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.btrim(t, F.lit("#")))))
+    for r in df.select(text.tweet_tokens(F.col("t")), by_pattern, text.hashtag_set(F.col("t")), by_split).collect():
+        assert r[0] == r[1] and r[2] == r[3]
+
+
+def test_pairs_of_words_with_nulls(spark):
+    df = spark.createDataFrame([(["a", None, "b", "c"],), (["a"],), ([],), (None,)], "w array<string>")
+    found = [r[0] for r in df.select(text.bigrams(F.col("w"))).collect()]
+    assert found == [["a", "b", "b c"], [], [], []]
