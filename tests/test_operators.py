@@ -294,3 +294,13 @@ def test_places_by_their_rarest_word(spark):
     assert found == dict(expected)
     short = regions.extract_places(df, gazetteer, "id", words, max_words=1).collect()
     assert {r["place"] for r in short} == {"york", "the"}
+
+
+def test_texts_are_dealt_to_tasks_by_their_size(spark, folder, monkeypatch, capsys):
+    """However few shuffle partitions there are, each split of the documents is many tasks."""
+    from checks import base
+
+    splits = base.table(spark, folder, "documents").rdd.getNumPartitions()
+    monkeypatch.setattr(base, "TASKS_PER_SPLIT", 50)
+    base.tweets(spark, folder).explain("extended")
+    assert f", {50 * splits}" in next(line for line in capsys.readouterr().out.splitlines() if "RepartitionByExpression" in line)
