@@ -311,8 +311,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _best(pairs: DataFrame) -> DataFrame:
     """Of each node the pair that met most often."""
-    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
-    best = pairs.select("hits", ends.alias("end")).groupBy("end.node").agg(F.max(F.struct("hits", F.col("end.other").alias("other"))).alias("best"))
+    # Each side is brought down to a row per node before the two meet.
+    sides = [
+        pairs.groupBy(F.col(own).alias("node")).agg(F.max(F.struct("hits", F.col(other).alias("other"))).alias("best"))
+        for own, other in (("a", "b"), ("b", "a"))
+    ]
+    best = sides[0].unionAll(sides[1]).groupBy("node").agg(F.max("best").alias("best"))
     return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
 
 
