@@ -208,3 +208,39 @@ def test_pairs_of_neighbours(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (1, 5, "a"), (2, 0, "c")], "k int, pos int, word string")
     found = sorted(map(tuple, textclass.with_pairs(rows, ["k"]).collect()))
     assert found == [(1, "a"), (1, "a"), (1, "a b"), (1, "b"), (1, "b a"), (2, "c")]
+
+
+def test_block_sums_in_parts(spark, monkeypatch):
+    """A block's terms may be dealt to parts: no task then meets all their vectors."""
+    monkeypatch.setattr(blocks, "VECTOR_CELLS", 40)
+    rng = np.random.default_rng(1)
+    matrix, vectors = rng.random((6, 50)), rng.random((50, 4))
+    cells = spark.createDataFrame([*long(matrix), (None, 3, 2.0)], "k int, term int, value double")
+    table = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(vectors)], "term bigint, vector array<double>")
+    summed = blocks.block_sums(blocks.sparse_rows(cells, "k"), "k", table, 4)
+    found = {r["k"]: r["sums"] for r in summed.collect()}
+    assert np.allclose([found[i] for i in range(6)], matrix @ vectors) and np.allclose(found[None], 2 * vectors[3])
+
+
+def test_products_of_rows(monkeypatch):
+    """Common terms as matrices, others pair by pair, a term that a row has twice included."""
+    monkeypatch.setattr(blocks, "CELLS", 90)
+    rng = np.random.default_rng(2)
+    dense = np.where(rng.random((30, 80)) < rng.random(80) ** 2, rng.random((30, 80)), 0)
+    row, place = np.nonzero(dense)
+    cells = blocks.Cells(row, place, dense[row, place])
+    assert np.allclose(cells.gram(30), dense @ dense.T)
+    numbers = rng.random((30, 3))
+    assert np.allclose(cells.back(numbers, 80), dense.T @ numbers)
+    twice = blocks.Cells(np.array([0, 0, 1]), np.array([5, 5, 5]), np.array([1.0, 2.0, 3.0]))
+    assert np.allclose(twice.gram(2), [[6, 9], [6, 9]])
+
+
+def test_weights_of_one_block_stay_there(points, monkeypatch):
+    """Only weights of terms that several blocks have are sent around in a round."""
+    _, _, cells, labels = points
+    sent, summed = [], blocks._summed
+    monkeypatch.setattr(blocks, "_summed", lambda vectors: sent.append(vectors.count()) or summed(vectors))
+    own = cells.withColumn("term", F.col("k").cast("int") * 10 + F.col("term")).unionAll(cells)
+    model = blocks.train_hinge_rows(own, labels, "k", 3, rounds=1, block_rows=45)
+    assert 0 < sent[0] <= 7 * 2 < model.weights.count()
