@@ -1,15 +1,19 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-A token's probability is that of its class given the classes of the three tokens before,
-times that of the token in its class. Classes: the text's end, each of the most frequent
-words, and groups of all other words by their first letters. The class is predicted by a
-softmax over hashed features: n-grams of the classes before (1, 2, 3) and skips over one or
-two of them. Within a class words have their smoothed share of the corpus counts, with one
-place for unknown words, so that the probabilities of all tokens add up to one.
-
-All counts cover all training texts. How often each class follows each context is a table
-of bounded size; every training round adds up the gradient over its partitions and moves
-the weights. Scoring looks frequent words up in the task; counts of the others are joined.
+A token's probability is that of its class given the three words before, times that of the
+word in its class given the words before. Both factors are softmaxes over the same kind of
+features: n-grams of the words before (1, 2, 3) and skips over one or two of them, hashed into
+the rows of a table of weights; for the word in its class they are hashed together with the
+class. Classes: the text's end, the frequent words by their rank, and groups of all other words
+by their first letters. Numbers of classes, of places in a class and of rows grow with the
+vocabulary. A frequent word has a place of its own; the others of a class meet in its places by
+their hash and have their smoothed share of a place's counts, with one share for unknown words,
+so that the probabilities of all tokens add up to one.
+
+All counts cover all training texts, and so does training: both softmaxes start from the counts,
+every task follows the gradient over its texts, and the tasks' changes are averaged by how often
+each saw a row's features. Scoring looks frequent words up in the task; counts of the others are
+joined.
 """
 
 from __future__ import annotations
@@ -25,15 +29,24 @@ from pyspark.sql import functions as F
 from wherewords.llm.tables import LOWER_CASE, WordBatch, crc_bucket, list_array, mix, pieces, small_batches, table, texts_of
 from wherewords.session import stage
 
-SINGLES, GROUPS = 15, 16
-CLASSES = 1 + SINGLES + GROUPS
-BITS = 5
+GROUPS = 8
+#: Classes of frequent words, and places in a class, at most.
+SIDE = 40
+CLASSES = 1 + GROUPS + SIDE
+#: Rows of a table of weights, at most and at least.
+BUCKETS, LEAST_BUCKETS = 1 << 16, 1 << 12
+#: Bits of a word in a context of three.
+BITS = 21
 #: A word is frequent from this share of all tokens on: so every task holds as many at most.
 HEAD_WORDS = 1 << 20
-BUCKETS, FEATURES = 1 << 12, 7
-ROUNDS, TRAIN_PARTS = 8, 8
-#: Occurrences that hold a weight back.
-HOLD = 10.0
+#: Features of a word in its class, the first of those of a class.
+WORD_FEATURES = 3
+#: Features whose rows many tokens of a step share, the first: words, not their n-grams.
+SHARED_FEATURES = 2
+#: Every text is in one round; tokens of a step; a step's length.
+ROUNDS, STEP_TOKENS, RATE = 2, 4096, 0.4
+#: Rows of a table that are sent together.
+SENT_ROWS = 1 << 10
 SMOOTH = 0.5
 END = np.uint64(0xE17D0000E17D0001)
 #: Distinct words gathered in a task before they are sent on.
@@ -80,117 +93,185 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Lexicon:
-    """What tasks know of the words: frequent ones with their counts, and the classes' sums."""
+    """What tasks know of the words: frequent ones with their counts and places, and the places' sums."""
 
     words: np.ndarray  # sorted hashes
     counts: np.ndarray
-    singles: np.ndarray  # sorted hashes; a word's class is its place here and one
-    sums: np.ndarray  # smoothed counts of each letter group
+    ranks: np.ndarray  # place among the words with a place of their own, -1 without
+    sums: np.ndarray  # smoothed counts of each class and place; 0 without words
     train_tokens: int
     distinct: int
 
-    def classes(self, hashes: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        found = 1 + SINGLES + groups
-        at = np.searchsorted(self.singles, hashes)
-        at[at == len(self.singles)] = 0
-        single = (self.singles[at] == hashes) if len(self.singles) else np.zeros(len(hashes), bool)
-        found = np.where(single, 1 + at, found)
-        found[hashes == END] = 0
-        return found
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of frequent words; -1 for others."""
+    def held(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ranks of frequent words; -1 for others."""
         if not len(self.words):
-            return np.full(len(hashes), -1, np.int64)
+            return np.full(len(hashes), -1, np.int64), np.full(len(hashes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.counts[at], -1)
-
-
-def contexts_of(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The three classes before each token as one number; before a text there is its end."""
-    place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    context = np.zeros(len(classes), np.int64)
+        found = self.words[at] == hashes
+        return np.where(found, self.counts[at], -1), np.where(found, self.ranks[at], -1)
+
+    def classes(self, hashes: np.ndarray, groups: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word and its place there: frequent words by rank, others by letters and hash."""
+        width = self.sums.shape[1]
+        single = ranks >= 0
+        classes = np.where(single, 1 + GROUPS + ranks // width, 1 + groups)
+        places = np.where(single, ranks % width, hash_places(hashes, width))
+        end = hashes == END
+        classes[end], places[end] = 0, 0
+        return classes, places
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both softmaxes without a context: logarithms of the shares of the classes, and of the
+        places in each class."""
+        with np.errstate(divide="ignore"):
+            places = np.log(self.sums)
+            classes = np.log(self.sums.sum(axis=1))
+        # What no word has is far below all others, but finite.
+        return np.maximum(classes, -1e4).astype(np.float32), np.maximum(places, -1e4).astype(np.float32)
+
+
+def hash_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Place of a word that has none of its own; :func:`learn_lexicon` has the same as a column."""
+    return ((hashes >> np.uint64(16)) % np.uint64(width)).astype(np.int64)
+
+
+def contexts_of(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The three words before each token as one number; before a text there is its end."""
+    words = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    context = np.zeros(len(words), np.int64)
     for back in (1, 2, 3):
-        before = np.zeros(len(classes), np.int64)
-        before[back:] = classes[:-back]
+        before = np.zeros(len(words), np.int64)
+        before[back:] = words[:-back]
         context = (context << BITS) | np.where(place >= back, before, 0)
     return context
 
 
-def features_of(contexts: np.ndarray) -> np.ndarray:
-    """Buckets of the active features of each context: bias, 1-, 2-, 3-gram and skips."""
+def features_of(contexts: np.ndarray, buckets: int = BUCKETS, classes: np.ndarray | None = None) -> np.ndarray:
+    """Rows of the active features of each context: 1-gram, skip, 2-gram, skip, 3-gram; with
+    ``classes`` the first of them, for the words of those classes. The starts are the bias."""
     mask = (1 << BITS) - 1
     one, two, three = contexts >> 2 * BITS, (contexts >> BITS) & mask, contexts & mask
-    kinds = [0 * one, one, two, three, one << BITS | two, one << BITS | three, contexts]
-    stacked = np.stack([value.astype(np.uint64) + np.uint64(k << 20) for k, value in enumerate(kinds)], axis=1)
-    return (mix(stacked + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    logits = weights[features_of(contexts)].sum(axis=1)
+    kinds = [one, two, one << BITS | two, one << BITS | three, contexts]
+    if classes is not None:
+        kinds = kinds[:WORD_FEATURES]
+    salt = np.uint64(0) if classes is None else mix(classes.astype(np.uint64) + np.uint64(1))
+    stacked = [mix(value.astype(np.uint64) * np.uint64(8) + np.uint64(k) + salt) for k, value in enumerate(kinds)]
+    return (np.stack(stacked) % np.uint64(buckets)).astype(np.int64)
+
+
+def logits_of(weights: np.ndarray, rows: np.ndarray, start: np.ndarray | float) -> np.ndarray:
+    logits = weights.take(rows[0], axis=0) + start
+    for row in rows[1:]:
+        logits += weights.take(row, axis=0)
     logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
 
 
-def gradient(weights: np.ndarray, contexts: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Observed and expected counts, each buckets × classes; their difference is the
-    gradient of the log-likelihood."""
-    unique, where = np.unique(contexts, return_inverse=True)
-    seen = np.zeros((len(unique), CLASSES))
-    np.add.at(seen, (where, classes), counts)
-    p = np.exp(log_softmax(weights, unique))
-    expected = seen.sum(axis=1, keepdims=True) * p
-    out = np.zeros((2, BUCKETS, CLASSES))
-    for column in features_of(unique).T:
-        np.add.at(out[0], column, seen)
-        np.add.at(out[1], column, expected)
-    return out
+def log_softmax(
+    weights: np.ndarray, contexts: np.ndarray, start: np.ndarray | float = 0.0, classes: np.ndarray | None = None
+) -> np.ndarray:
+    logits = logits_of(weights, features_of(contexts, len(weights), classes), start)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _followed(spark, lexicon: Lexicon):
-    shared = spark.sparkContext.broadcast(lexicon)
+def put_rows(weights: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``weights[at] = rows``, each row moved as one value; of equal places the last counts."""
+    whole = f"V{weights.itemsize * weights.shape[1]}"
+    weights.view(whole).reshape(-1)[at] = np.ascontiguousarray(rows).view(whole).reshape(-1)
+
+
+def follow_gradient(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, start: np.ndarray, targets: np.ndarray) -> None:
+    """One step of ``weights`` along the log-likelihood of the targets. A row goes by its summed
+    gradient, less far the more often it was ``seen``; of an n-gram that is in a step more than
+    once, the last place counts."""
+    p = logits_of(weights, rows, start)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(targets)), targets] -= 1
+    for row in rows[SHARED_FEATURES:]:
+        np.add.at(seen, row, 1.0)
+        length = (RATE / np.sqrt(seen[row])).astype(np.float32)[:, None]
+        put_rows(weights, row, weights.take(row, axis=0) - p * length)
+    for row in rows[:SHARED_FEATURES]:
+        order = np.argsort(row, kind="stable")
+        ordered = row[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        often = np.diff(np.append(first, len(row)))
+        at = ordered[first]
+        seen[at] += often
+        length = (RATE / np.maximum(np.sqrt(seen[at]), often / 4)).astype(np.float32)[:, None]
+        # Differences of running sums: a reduceat over short groups takes far longer.
+        sums = np.cumsum(p.take(order, axis=0), axis=0).take(first + often - 1, axis=0)
+        sums[1:] -= sums[:-1].copy()
+        put_rows(weights, at, weights.take(at, axis=0) - sums * length)
+
+
+def _learnt(shared):
+    """(tables, first row, weights, times seen): what a task's texts change, weighted by the times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 4 * BITS, np.int64)
-        for batch in batches:
-            hashes, groups, lengths = tokens_of(texts_of(batch, "text"))
-            classes = shared.value.classes(hashes, groups)
-            seen += np.bincount((contexts_of(classes, lengths) << BITS) | classes, minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pair", "c"])
+        lexicon, before = shared.value
+        starts = lexicon.starts()
+        weights = [table.copy() for table in before]
+        seen = [np.zeros(len(table)) for table in before]
+        for big in batches:
+            for batch in pieces(big, 500):
+                hashes, groups, lengths = tokens_of(texts_of(batch, "text"))
+                classes, places = lexicon.classes(hashes, groups, lexicon.held(hashes)[1])
+                contexts = contexts_of(hashes, lengths)
+                for begin in range(0, len(hashes), STEP_TOKENS):
+                    part = slice(begin, begin + STEP_TOKENS)
+                    own, at = contexts[part], classes[part]
+                    follow_gradient(weights[0], seen[0], features_of(own, len(weights[0])), starts[0], at)
+                    words = at > 0
+                    if words.any():
+                        own, at = own[words], at[words]
+                        rows = features_of(own, len(weights[1]), at)
+                        follow_gradient(weights[1], seen[1], rows, starts[1][at], places[part][words])
+        for k, (now, old, often) in enumerate(zip(weights, before, seen, strict=True)):
+            for begin in range(0, len(now), SENT_ROWS):
+                part = slice(begin, begin + SENT_ROWS)
+                if often[part].any():
+                    change = ((now[part] - old[part]) * often[part, None]).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int32()), pa.array([begin], pa.int32()), pa.array([change.tobytes()], pa.binary()),
+                         pa.array([often[part].tobytes()], pa.binary())],
+                        ["kind", "begin", "change", "seen"],
+                    )
 
     return run
 
 
-def train(train_texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Weights, buckets × classes, by gradient rounds over all contexts.
+def _averaged(rows: pa.Table) -> pa.Table:
+    """The changes of all tasks to one part of a table, averaged by the times they saw each row."""
+    # In a fixed order, so that sums are the same in every run.
+    found = sorted(zip(rows["change"].to_pylist(), rows["seen"].to_pylist(), strict=True))
+    often = sum(np.frombuffer(seen) for _, seen in found)
+    change = sum(np.frombuffer(change, np.float32).reshape(len(often), -1).astype(float) for change, _ in found)
+    mean = (change / np.maximum(often, 1)[:, None]).astype(np.float32)
+    return pa.table({"kind": rows["kind"][:1], "begin": rows["begin"][:1], "change": pa.array([mean.tobytes()], pa.binary())})
 
-    A weight's step is its gradient over the mean of its observed and expected counts, a
-    share of it for each of the features that act together.
-    """
+
+def train(train_texts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both softmaxes: of the classes, rows × classes, and of the words in their
+    classes, rows × places. Every training text is in one of the rounds."""
     spark = train_texts.sparkSession
-    pairs = train_texts.mapInArrow(_followed(spark, lexicon), "pair bigint, c bigint")
-    # At most classes ** 4 rows, whatever the corpus.
-    stats = stage(
-        pairs.groupBy("pair").agg(F.sum("c").alias("c")).repartition(TRAIN_PARTS, F.shiftright("pair", BITS)), "contexts"
-    )
-    weights = np.zeros((BUCKETS, CLASSES))
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((2, BUCKETS, CLASSES))
-            for batch in batches:
-                pair = batch.column("pair").to_numpy()
-                out += gradient(shared.value, pair >> BITS, pair & (CLASSES - 1), batch.column("c").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["sums"])
-
-        # One row of the model's size per partition of a table of bounded size.
-        parts = stats.coalesce(TRAIN_PARTS).mapInArrow(run, "sums binary").collect()
-        if not parts:
-            break
-        seen, expected = sum(np.frombuffer(r["sums"], np.float32).astype(float) for r in parts).reshape(2, BUCKETS, CLASSES)
-        weights = weights + 2 * (seen - expected) / (FEATURES * (seen + expected) + HOLD)
+    classes, width = lexicon.sums.shape
+    buckets = min(BUCKETS, max(LEAST_BUCKETS, 1 << (lexicon.distinct // 4).bit_length()))
+    weights = np.zeros((buckets, classes), np.float32), np.zeros((buckets, width), np.float32)
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((lexicon, weights))
+        own = train_texts.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(ROUNDS)) == r)
+        # A task sends as much as the tables hold, so there is one for each core, or for some parts of the input.
+        changes = own.coalesce(max(spark.sparkContext.defaultParallelism, own.rdd.getNumPartitions() // 8)).mapInArrow(
+            _learnt(shared), "kind int, begin int, change binary, seen binary"
+        )
+        averaged = changes.groupBy("kind", "begin").applyInArrow(_averaged, "kind int, begin int, change binary")
+        for row in averaged.collect():
+            table, begin = weights[row["kind"]], row["begin"]
+            part = np.frombuffer(row["change"], np.float32).reshape(-1, table.shape[1])
+            table[begin : begin + len(part)] += part
         shared.unpersist()
     return weights
 
@@ -203,33 +284,58 @@ def learn_lexicon(train_texts: DataFrame) -> tuple[Lexicon, DataFrame]:
         "word-counts",
     )
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.filter(F.col("c") * HEAD_WORDS >= totals["n"]).toPandas()
+    end = F.col("word") == int(END.view(np.int64))
+    top = counts.filter((F.col("c") * HEAD_WORDS >= totals["n"]) | end).toPandas()
     top = top.sort_values(["c", "word"], ascending=[False, True])
     words, often = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    letters = top["letters"].to_numpy(np.int64)
+    side = min(SIDE, max(1, round(0.25 * totals["v"] ** (1 / 3))))
+    ranked = np.flatnonzero(words != END)[: side * side]
+    ranks = np.full(len(words), -1)
+    ranks[ranked] = np.arange(len(ranked))
+    # Smoothed counts of the places: of all words by letters and hash, less those with their own.
+    sums = np.zeros((1 + GROUPS + side, side))
+    place = F.pmod(F.shiftrightunsigned("word", 16), F.lit(side)).alias("place")
+    for row in counts.groupBy("letters", place).agg((F.sum("c") + SMOOTH * F.count("*")).alias("s")).collect():
+        sums[1 + row["letters"], row["place"]] = row["s"]
+    for own in (ranked, np.flatnonzero(words == END)):
+        np.subtract.at(sums, (1 + letters[own], hash_places(words[own], side)), often[own] + SMOOTH)
+    sums[1 : 1 + GROUPS] += SMOOTH  # for an unknown word
+    sums[1 + GROUPS :].flat[: len(ranked)] = often[ranked] + SMOOTH
+    sums[0, 0] = often[words == END].sum() + SMOOTH
     order = np.argsort(words)
-    singles = np.sort(words[words != END][:SINGLES])
-    alone = [int(w) for w in np.append(singles, END).view(np.int64)]
-    groups = counts.filter(~F.col("word").isin(alone)).groupBy("letters").agg((F.sum("c") + SMOOTH * F.count("*")).alias("s"))
-    sums = np.full(GROUPS, SMOOTH)
-    for row in groups.collect():
-        sums[row["letters"]] += row["s"]
-    return Lexicon(words[order], often[order], singles, sums, totals["n"], totals["v"]), counts
+    return Lexicon(words[order], often[order], ranks[order], sums, totals["n"], totals["v"]), counts
+
+
+def log_model(lexicon: Lexicon, weights, contexts: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """log10 of both factors for each token, a step's tokens at a time."""
+    starts, out = lexicon.starts(), np.empty(len(contexts))
+    for begin in range(0, len(contexts), STEP_TOKENS):
+        part = slice(begin, begin + STEP_TOKENS)
+        own, at, place = contexts[part], classes[part], places[part]
+        logs = log_softmax(weights[0], own, starts[0])[np.arange(len(own)), at].astype(float)
+        words = at > 0
+        if words.any():
+            own, at, place = own[words], at[words], place[words]
+            logs[words] += log_softmax(weights[1], own, starts[1][at], at)[np.arange(len(own)), place]
+        out[part] = logs
+    return out / np.log(10)
 
 
-def _scored(spark, lexicon: Lexicon, weights: np.ndarray):
+def _scored(spark, lexicon: Lexicon, weights: tuple[np.ndarray, np.ndarray]):
     shared = spark.sparkContext.broadcast((lexicon, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, weights = shared.value
-        in_class = np.concatenate([np.zeros(1 + SINGLES), np.log10(lexicon.sums)])
+        in_place = np.log10(np.maximum(lexicon.sums, SMOOTH))
         for big in batches:
             for batch in pieces(big, 500):
                 hashes, groups, lengths = tokens_of(texts_of(batch, "text"))
-                classes = lexicon.classes(hashes, groups)
-                unique, where = np.unique(contexts_of(classes, lengths), return_inverse=True)
-                own = log_softmax(weights, unique)[where, classes] / np.log(10)
-                counts = lexicon.known(hashes)
-                grouped = classes > SINGLES
+                counts, ranks = lexicon.held(hashes)
+                classes, places = lexicon.classes(hashes, groups, ranks)
+                own = log_model(lexicon, weights, contexts_of(hashes, lengths), classes, places)
+                # Words without a place of their own have their share of its counts.
+                grouped = (ranks < 0) & (classes > 0)
                 share = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + SMOOTH), 0.0)
                 begins = np.cumsum(lengths) - lengths
                 rest = counts < 0
@@ -239,7 +345,7 @@ def _scored(spark, lexicon: Lexicon, weights: np.ndarray):
                         batch.column("row"), batch.column("key"), pa.array(lengths),
                         pa.array(np.add.reduceat((counts > 0).astype(np.int64), begins)),
                         pa.array(np.add.reduceat(share, begins)),
-                        pa.array(np.add.reduceat(own + np.where(grouped, share - in_class[classes], 0.0), begins)),
+                        pa.array(np.add.reduceat(own + np.where(grouped, share - in_place[classes, places], 0.0), begins)),
                         list_array(hashes[rest].view(np.int64), rests, pa.int64()),
                     ],
                     ["row", "key", "n_tokens", "n_known", "share", "model", "rest"],
