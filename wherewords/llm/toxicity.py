@@ -34,7 +34,7 @@ WINDOW_BYTES = 64
 #: Windows that are scored, and how far apart they begin.
 SCORED_BYTES, STRIDE = 16, 8
 #: Windows that are compressed at once.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
 COMMON_BYTES, OWN_BYTES = 60_000, 6_000
 #: Words that set a class apart: in how many of its documents, and how many times as often as
 #: in the other class; their length.
@@ -48,6 +48,8 @@ STUB = bytes(range(0x80, 0x90))
 #: Gains in bytes that windows are counted from.
 GAINS = (1, 2, 3, 4, 5, 6)
 FIGURES = len(GAINS) + 5
+#: No window differs by so many bytes.
+MOST_GAIN = 1 << 15
 
 MATCHING = {
     "strategy": zstd.STRATEGY_DFAST, "hash_log": 15, "chain_log": 15, "window_log": 18,
@@ -68,24 +70,27 @@ def windows_of(text: str) -> Iterator[bytes]:
         at = to
 
 
-def scored_windows(text: str) -> Iterator[zstd.BufferWithSegments]:
-    """The windows of a text with the stub behind each; the last is filled up with blanks."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return
-    n = max(0, -(-(len(raw) - SCORED_BYTES) // STRIDE)) + 1
-    filled = np.full((n - 1) * STRIDE + SCORED_BYTES, 32, np.uint8)
-    filled[: len(raw)] = raw
-    windows = np.lib.stride_tricks.sliding_window_view(filled, SCORED_BYTES)[::STRIDE]
+def scored_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the texts one after the other, each as two 8-byte words, and how many
+    each text has; a text's last window is filled up with blanks."""
+    raws = [text.lower().encode("utf-8", "surrogatepass") for text in texts]
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    counts = np.where(sizes > 0, np.maximum(0, -(-(sizes - SCORED_BYTES) // STRIDE)) + 1, 0)
+    widths = np.where(counts > 0, (counts - 1) * STRIDE + SCORED_BYTES, 0)
+    filled = np.frombuffer(b"".join(raw.ljust(n, b" ") for raw, n in zip(raws, widths.tolist(), strict=True)), np.uint64)
+    # A window is a word and the one behind it; a text has a word more than windows.
+    starts = np.arange(int(counts.sum())) + np.repeat(np.cumsum(counts > 0) - 1, counts)
+    return np.stack([filled[starts], filled[starts + 1]], axis=1) if len(starts) else np.zeros((0, 2), np.uint64), counts
+
+
+def with_stubs(windows: np.ndarray) -> zstd.BufferWithSegments:
+    """Windows with the stub behind each."""
+    ended = np.empty((len(windows), 4), np.uint64)
+    ended[:, :2], ended[:, 2:] = windows, np.frombuffer(STUB, np.uint64)
     width = SCORED_BYTES + len(STUB)
-    for begin in range(0, n, AT_ONCE):
-        part = windows[begin : begin + AT_ONCE]
-        ended = np.empty((len(part), width), np.uint8)
-        ended[:, :SCORED_BYTES] = part
-        ended[:, SCORED_BYTES:] = np.frombuffer(STUB, np.uint8)
-        places = np.full((len(part), 2), width, np.uint64)
-        places[:, 0] = np.arange(len(part)) * width
-        yield zstd.BufferWithSegments(ended.tobytes(), places.tobytes())
+    places = np.full((len(windows), 2), width, np.uint64)
+    places[:, 0] = np.arange(len(windows)) * width
+    return zstd.BufferWithSegments(ended.tobytes(), places.tobytes())
 
 
 @dataclass
@@ -117,33 +122,61 @@ class Model:
                 self._pair.append(zstd.ZstdCompressor(dict_data=words, compression_params=settings))
         return self._pair
 
-    def gains(self, text: str) -> np.ndarray:
-        """Bytes that the toxic dictionary saves in each window."""
+    def gains(self, windows: np.ndarray) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window. A call of the library sets its
+        tables up anew, so windows of many texts go into one."""
         ordinary, toxic = self._compressors()
-        parts = [np.zeros(0, np.int16)]
-        for windows in scored_windows(text):
-            lengths = [
-                np.fromiter(map(len, c.multi_compress_to_buffer(windows)), np.int16, len(windows)) for c in (ordinary, toxic)
-            ]
-            parts.append(lengths[0] - lengths[1])
-        return np.concatenate(parts)
-
-    def figures(self, text: str) -> list[float]:
-        """What a text's window differences come to; all zero for an empty text."""
-        gains = self.gains(text)
-        if not len(gains):
-            return [0.0] * FIGURES
-        top = np.sort(np.partition(gains, -3)[-3:] if len(gains) > 3 else gains)[::-1].astype(float)
-        return [
-            float(np.clip(gains.mean(), -3, 3)), float(top[0]), float(top.mean()), float(np.log1p(len(gains))),
-            float((gains >= 4).mean()), *(float(np.log1p((gains >= least).sum())) for least in GAINS),
-        ]
+        out = np.empty(len(windows), np.int64)
+        for begin in range(0, len(windows), AT_ONCE):
+            part = with_stubs(windows[begin : begin + AT_ONCE])
+            first, second = (
+                np.fromiter(map(len, c.multi_compress_to_buffer(part)), np.int16, len(part)) for c in (ordinary, toxic)
+            )
+            out[begin : begin + AT_ONCE] = first - second
+        return out
+
+    def figures(self, texts: list[str]) -> np.ndarray:
+        """What each text's window differences come to, a row a text; all zero for an empty text."""
+        found = np.zeros((len(texts), FIGURES))
+        for begin, end in _runs_of(texts):
+            windows, counts = scored_windows(texts[begin:end])
+            gains = self.gains(windows)
+            some = np.flatnonzero(counts)
+            if len(some):
+                found[begin + some] = _figures(gains, counts[some])
+        return found
 
     def score(self, texts: list[str]) -> np.ndarray:
-        found = np.array([self.figures(text) for text in texts]).reshape(-1, FIGURES)
+        found = self.figures(texts)
         return 1 / (1 + np.exp(-np.clip(found @ np.array(self.weights) + self.bias, -30, 30)))
 
 
+def _runs_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts that have about :data:`AT_ONCE` windows together."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= AT_ONCE * STRIDE:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _figures(gains: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The figures of texts with ``counts`` windows each, none of them 0."""
+    first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(counts)), counts)
+    # Falling within each text: sorted as one number, the gain counted down.
+    ranked = np.sort((owner << 16) + (MOST_GAIN - gains))
+    ranked = (MOST_GAIN - (ranked & 0xFFFF)).astype(float)
+    mean = np.add.reduceat(gains.astype(float), first) / counts
+    top = sum(np.where(counts > k, ranked[np.minimum(first + k, len(ranked) - 1)], 0.0) for k in range(3)) / np.minimum(counts, 3)
+    above = [np.add.reduceat((gains >= least).astype(np.int64), first) for least in GAINS]
+    share = np.add.reduceat((gains >= 4).astype(np.int64), first) / counts
+    return np.column_stack([np.clip(mean, -3, 3), ranked[first], top, np.log1p(counts), share, *map(np.log1p, above)])
+
+
 #: Without labelled documents of both classes nothing is known: all scores are near zero.
 UNKNOWN = Model(b" ordinary", b" toxic", [0.0] * FIGURES, -30.0)
 
@@ -252,9 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = Model(*train_dictionaries(learn[1], learn[0]), [0.0] * FIGURES, 0.0)
         for mark in (0, 1):
             held = samples[mark][fold::folds]
-            found += [part.figures(t) for t in held]
+            found.append(part.figures(held))
             marks_of += [float(mark)] * len(held)
-    figures, marks_of = np.array(found), np.array(marks_of)
+    figures, marks_of = np.concatenate(found), np.array(marks_of)
     model = Model(*train_dictionaries(samples[1], samples[0]), [0.0] * FIGURES, 0.0)
     # Each class counts as it does among all labels.
     weight = np.where(marks_of == 1, totals[1] / len(samples[1]), totals[0] / len(samples[0]))
