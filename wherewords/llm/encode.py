@@ -41,6 +41,8 @@ def cut_rule(settings: dict) -> str | None:
 
 
 CUT = "\0"
+#: Pieces that the library encodes in a call.
+PIECES_AT_ONCE = 2000
 
 
 def singly_spaced(text: str) -> bool:
@@ -143,10 +145,15 @@ class PieceEncoder:
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != unique[inside]
         if new.any():
-            found = self._library([piece(k) for k in first[new]])
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            slots = len(self.bounds) - 1 + np.arange(len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))])
+            fresh = first[new]
+            parts, counts = [self.ids], np.empty(len(fresh), np.int64)
+            # The library's results hold far more than ids, so few are asked for at once.
+            for begin in range(0, len(fresh), PIECES_AT_ONCE):
+                found = self._library([piece(k) for k in fresh[begin : begin + PIECES_AT_ONCE]])
+                counts[begin : begin + len(found)] = list(map(len, found))
+                parts.append(np.fromiter((i for ids in found for i in ids), np.uint32))
+            slots = len(self.bounds) - 1 + np.arange(len(fresh))
+            self.ids = np.concatenate(parts)
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
             self.keys = np.insert(self.keys, at[new], unique[new])
             self.slots = np.insert(self.slots, at[new], slots)

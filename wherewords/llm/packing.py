@@ -25,7 +25,7 @@ from wherewords.session import stage
 DIMS, BITS = 4, 12
 #: Coordinates beyond this are cut: means of random signs over a text lie well inside.
 REACH = 0.25
-ENCODE_ROWS = 1000
+ENCODE_ROWS = 250
 
 
 def signs(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
