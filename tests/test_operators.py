@@ -1,6 +1,7 @@
 """Operators against brute force on small data with a hot key."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,27 @@ def test_stem_forms_agree(spark):
     assert direct["en", "sing"] == "sing" and direct["en", "singing"] == "sing"
 
 
+def test_stemming_is_compiled_and_done_once(spark, capsys):
+    """HotSpot compiles no method of over 8000 bytes; a join on the term adds no test of it."""
+    rows = [(1, "en", "The ponies #singing sang @you http://x/y ponies"), (2, None, "ponies"), (3, "de", None), (None, "en", "a is")]
+    df = session.stage(spark.createDataFrame(rows, "tweet_id bigint, user_lang string, text string"), "messages")
+    stops = session.stage(spark.createDataFrame([("en", "the")], "lang string, word string"), "stops")
+    counts = words.message_term_counts(df, stops, "tweet_id")
+    assert sorted((r["tweet_id"] or 0, r["term"], r["tf"]) for r in counts.collect()) == [
+        (0, "is", 1), (1, "poni", 2), (1, "sang", 1), (1, "sing", 1), (1, "singing", 1), (2, "ponies", 1)
+    ]
+    joined = counts.join(session.stage(counts.select("term").distinct(), "terms"), "term")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined.select("*").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    code = capsys.readouterr().out
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+    assert "Project" in code and not any("Filter" in line and "CASE" in line for line in code.splitlines())
+
+
 def test_crowded_cells(spark):
     """Nine tenths of the points in one cell, half of those at one spot: no key has many, and
     the same boxes are found."""

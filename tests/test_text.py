@@ -89,3 +89,20 @@ def test_pairs_of_words_with_nulls(spark):
     df = spark.createDataFrame([(["a", None, "b", "c"],), (["a"],), ([],), (None,)], "w array<string>")
     found = [r[0] for r in df.select(text.bigrams(F.col("w"))).collect()]
     assert found == [["a", "b", "b c"], [], [], []]
+
+
+def test_single_blanks_of_every_white_space(spark):
+    points = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{chr(c)}a{chr(c)}{chr(c)}b {chr(c)}c{chr(c)} d{chr(c)}" for c in points] + [" a  b c \n d\n", "", "   ", "a b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    plain = F.regexp_replace("t", f"[{text.SPACE}]+", " ")
+    assert frame.filter(~text.single_blanks(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert frame.filter(plain != F.col("t")).count() > 20
+
+
+def test_clean_words_of_every_letter(spark):
+    ranges = text.CLEAN_WORD.replace(r"\p{Alnum}", "[0-9A-Za-z]")
+    texts = [f"a{chr(c)}b1 {chr(c)}http://x{chr(c)} @u{chr(c)}v" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    plain = F.filter(F.regexp_extract_all("t", F.lit(ranges), 1), lambda w: w != "")
+    assert frame.filter(~text.clean_words(F.col("t")).eqNullSafe(plain)).count() == 0
