@@ -57,3 +57,11 @@ def test_terms_are_shuffled_compressed_and_once(spark, monkeypatch):
     plan = features.tfidf_fields(grams, "tweet_id")._jdf.queryExecution().optimizedPlan().toString()
     assert paths == ["field-blocks"]
     assert "Window" not in plan and "term#" not in plan.split("FlatMapCoGroups", 1)[1].split("\n", 1)[1]
+
+
+def test_words_that_the_reference_keeps_are_kept(spark):
+    """Of Spark's English stop words, those that are none of the reference's ``stop_words='english'``."""
+    df = spark.createDataFrame([(1, "She does the thing, just did it", None)], "tweet_id bigint, text string, user_description string")
+    row = features.field_grams(df).first()
+    assert row["text_grams"] == ["does", "thing", "just", "did", "does thing", "thing just", "just did"]
+    assert row["user_description_grams"] == row["hashtags_grams"] == []
