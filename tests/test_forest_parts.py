@@ -19,6 +19,7 @@ def test_parts_of_a_forest_grow_at_the_same_time(spark, tmp_path, monkeypatch):
         return fit(estimator, rows)
 
     monkeypatch.setattr(RandomForestClassifier, "fit", watched)
+    monkeypatch.setattr(classify, "FEW_ROWS", 80)
     rows = [(float(i % 3), float(i % 3), float(i * 37 % 11)) for i in range(90)]
     table = VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(spark.createDataFrame(rows, "label double, a double, b double").coalesce(1))
     model = classify.train_meta_forest(table, "v", "label", trees=3, max_depth=4)
